@@ -18,6 +18,7 @@ def session(app: str = "radiolake", cores: int | str = "*", **conf: str) -> Spar
         "spark.sql.shuffle.partitions": str(os.cpu_count() or 8),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
