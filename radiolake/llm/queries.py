@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read_table
-from . import groupsplit, overlap, survivors
+from . import bpe, groupsplit, mixing, overlap, survivors
 
 # ---- p1
 
@@ -75,6 +75,25 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return whole.join(bad, ["split", "source_file"], "left").select("split", "source_file", "images", F.coalesce("overlapping", F.lit(0)).alias("overlapping"))
 
 
+# ---- p8
+
+
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode(read_table(spark, sf, "documents"), "doc_id", "text")
+
+
+# ---- p9
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = bpe.encode(read_table(spark, sf, "documents"), "doc_id", "text", ["source"])
+    return mixing.mix(tokens, "doc_id", "source", "ids", read_table(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, sf), read_table(spark, sf, "mix_targets"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_survivors": p1_survivors,
@@ -82,6 +101,9 @@ QUERIES = {
     "p6_splits": p6_splits,
     "p7_found": p7_found,
     "p7_report": p7_report,
+    "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
 }
 
 _NO_VALUE = ", ".join(f"'{x}'" for x in survivors.NO_VALUE)
