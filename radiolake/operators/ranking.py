@@ -37,14 +37,14 @@ def running_total(df: DataFrame, groups: list[str], order: list[str], weight: Co
     order must be unique within a group, else ties are broken arbitrarily. Rows with
     a null group form a group of their own. An empty df gives an empty result.
     """
-    b = df.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(buckets))).withColumn("_w", weight)
-    per = b.groupBy(*groups, "_b").agg(F.sum("_w").alias("_sum"))
-    before = W.partitionBy(*groups).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn("_off", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    names = [f"_g{i}" for i in range(len(groups))]
-    per = per.select(*[F.col(g).alias(n) for g, n in zip(groups, names)], F.col("_b").alias("_pb"), "_off")
-    same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(groups, names)], F.col("_b") == F.col("_pb"))
-    within = W.partitionBy(*groups, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    b = df.withColumn("__rt_b", F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(buckets))).withColumn("__rt_w", weight)
+    per = b.groupBy(*groups, "__rt_b").agg(F.sum("__rt_w").alias("__rt_sum"))
+    before = W.partitionBy(*groups).orderBy("__rt_b").rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumn("__rt_off", F.coalesce(F.sum("__rt_sum").over(before), F.lit(0))).drop("__rt_sum")
+    names = [f"__rt_g{i}" for i in range(len(groups))]
+    per = per.select(*[F.col(g).alias(n) for g, n in zip(groups, names)], F.col("__rt_b").alias("__rt_pb"), "__rt_off")
+    same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(groups, names)], F.col("__rt_b") == F.col("__rt_pb"))
+    within = W.partitionBy(*groups, "__rt_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     joined = b.join(per, same)
-    total = F.col("_off") + F.coalesce(F.sum("_w").over(within), F.lit(0))
-    return joined.withColumn(out, total).drop("_b", "_w", "_pb", "_off", *names)
+    total = F.col("__rt_off") + F.coalesce(F.sum("__rt_w").over(within), F.lit(0))
+    return joined.withColumn(out, total).drop("__rt_b", "__rt_w", "__rt_pb", "__rt_off", *names)
