@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read_table
-from . import bpe, groupsplit, mixing, overlap, survivors
+from . import bpe, groupsplit, mixing, overlap, survivors, truncation
 
 # ---- p1
 
@@ -35,6 +35,43 @@ def p1_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return survivors.survivors(_p1_winners(spark, sf), "image_id", "record_id", ["status", "image_path", "ground_truth", "final_answer"])
 
 
+# ---- p3
+
+
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    t = read_table(spark, sf, "agent_trajectory").select("trajectory_id", "source", F.posexplode("messages").alias("message_pos", "m"))
+    return t.where("trajectory_id is not null").select(
+        F.lit("agent_trajectory").alias("table_name"), F.col("trajectory_id").alias("record_id"), "message_pos", "source", F.col("m.content").alias("text")
+    )
+
+
+def _p3_judged(spark: SparkSession, sf: str) -> DataFrame:
+    states = read_table(spark, sf, "trace_gen_state").where("state_id is not null").select(
+        F.lit("trace_gen_state").alias("table_name"), F.col("state_id").alias("record_id"), F.lit(-1).alias("message_pos"), "source", F.col("status").alias("text")
+    )
+    texts = _messages(spark, sf).unionByName(states).distinct()
+    return truncation.judge(texts, ["table_name", "record_id", "message_pos"], "table_name")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p3_judged(spark, sf).where("cut").select("table_name", "record_id", "message_pos").distinct()
+
+
+def p3_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Per table and source: texts, cut texts, their share, and how the cuts show."""
+    return (
+        _p3_judged(spark, sf)
+        .groupBy("table_name", "source")
+        .agg(
+            F.count("*").alias("texts"),
+            F.count_if("cut").alias("cut_texts"),
+            F.round(F.avg(F.col("cut").cast("double")), 6).alias("cut_share"),
+            F.count_if(F.col("shape") == "marked").alias("marked"),
+            F.count_if(F.col("shape") == "open").alias("left_open"),
+        )
+    )
+
+
 # ---- p6
 
 SHARES = {"train": 80, "validation": 10, "test": 10}
@@ -97,6 +134,8 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_survivors": p1_survivors,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p7_found": p7_found,
