@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read_table
-from . import bpe, groupsplit, mixing, overlap, survivors, truncation
+from . import bpe, groupsplit, mixing, overlap, pairs, survivors, truncation
 
 # ---- p1
 
@@ -72,6 +72,28 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ---- p4
+
+
+def _p4_defects(spark: SparkSession, sf: str) -> DataFrame:
+    judged = truncation.judge(_messages(spark, sf).distinct(), ["table_name", "record_id", "message_pos"], "table_name")
+    judged = judged.select(F.col("record_id").alias("trajectory_id"), "message_pos", "shape", "cut")
+    got = pairs.message_pairs(read_table(spark, sf, "agent_trajectory").select("trajectory_id", "messages"), "trajectory_id", "messages")
+    return pairs.defects(got, "trajectory_id", judged)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    of_pairs = pairs.main_defect(_p4_defects(spark, sf), "trajectory_id")
+    blank = pairs.without_answer(read_table(spark, sf, "agent_trajectory"), "trajectory_id", "final_answer")
+    return of_pairs.unionByName(blank.select("trajectory_id", F.lit(-1).alias("question_pos"), F.lit("empty").alias("defect")))
+
+
+def p4_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Every defect of every pair with its posterior."""
+    got = _p4_defects(spark, sf)
+    return got.select("trajectory_id", "question_pos", "defect", F.round("posterior", 6).alias("posterior"))
+
+
 # ---- p6
 
 SHARES = {"train": 80, "validation": 10, "test": 10}
@@ -136,6 +158,8 @@ QUERIES = {
     "p1_survivors": p1_survivors,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p4_found": p4_found,
+    "p4_labels": p4_labels,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p7_found": p7_found,
