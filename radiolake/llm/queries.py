@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read_table
-from . import bpe, groupsplit, mixing, overlap, pairs, survivors, truncation
+from . import bpe, groupsplit, language, mixing, overlap, pairs, survivors, truncation
 
 # ---- p1
 
@@ -153,6 +153,28 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, sf), read_table(spark, sf, "mix_targets"))
 
 
+# ---- p10
+
+
+def _p10_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
+    weights = language.fit(docs, "text", "lang", "doc_id")
+    return language.label_documents(docs.withColumnRenamed("lang", "label"), "doc_id", "text", ["label"], weights)
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return language.label_defects(_p10_labelled(spark, sf), "doc_id", "label")
+
+
+def p10_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return _p10_labelled(spark, sf).select("doc_id", "label", F.col("main").alias("lang"), F.round("confidence", 4).alias("confidence"))
+
+
+def p10_passages(spark: SparkSession, sf: str) -> DataFrame:
+    got = _p10_labelled(spark, sf).select("doc_id", F.posexplode("segs").alias("pos", "s"))
+    return got.select("doc_id", "pos", "s.segment", "s.lang", F.round("s.confidence", 4).alias("confidence"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_survivors": p1_survivors,
@@ -167,6 +189,9 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_documents": p10_documents,
+    "p10_passages": p10_passages,
 }
 
 _NO_VALUE = ", ".join(f"'{x}'" for x in survivors.NO_VALUE)
