@@ -31,13 +31,14 @@ def mixed_sql(i: str, seed: int) -> str:
     return f"(((({h} * {h} + ({i})) % 2147483647) * 48271) % 2147483647)"
 
 
-def running_total(df: DataFrame, groups: list[str], order: list[str], weight: Column, out: str, buckets: int = BUCKETS, seed: int = 0) -> DataFrame:
+def running_total(df: DataFrame, groups: list[str], order: list[str], weight: Column, out: str, buckets: int = BUCKETS, seed: int = 0, bucket: Column | None = None) -> DataFrame:
     """df plus out: the total of weight over the rows of the group before this one.
 
-    order must be unique within a group, else ties are broken arbitrarily. Rows with
+    order must be unique within a group, else ties are broken arbitrarily. bucket, if
+    given, must not fall as order rises; the order is then that of the columns alone. Rows with
     a null group form a group of their own. An empty df gives an empty result.
     """
-    b = df.withColumn("__rt_b", F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(buckets))).withColumn("__rt_w", weight)
+    b = df.withColumn("__rt_b", bucket if bucket is not None else F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(buckets))).withColumn("__rt_w", weight)
     per = b.groupBy(*groups, "__rt_b").agg(F.sum("__rt_w").alias("__rt_sum"))
     before = W.partitionBy(*groups).orderBy("__rt_b").rowsBetween(W.unboundedPreceding, -1)
     per = per.withColumn("__rt_off", F.coalesce(F.sum("__rt_sum").over(before), F.lit(0))).drop("__rt_sum")
