@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut_lineage
+
 # What writers put where they cut.
 _MARK = re.compile(r"(?:…|\.\.\.|[\[<(]\s*(?:…|\.\.\.|truncated|cut|cut off|more|snip|snipped|continued|abridged)\s*[\])>])\s*$", re.IGNORECASE)
 _SIGNS = re.compile(r"```|\\.?|[\"{}\[\]()“”„«»]", re.DOTALL)
@@ -147,9 +149,11 @@ def judge(texts: DataFrame, key: list[str], kind: str) -> DataFrame:
     cover all texts; repeated rows should be dropped before. Null and blank texts give
     no row.
     """
-    seen = shapes(texts.select(*key, F.col(kind).alias("kind"), "source", "text"))
+    # Written once: the automaton and the word counts are read by several branches.
+    seen = cut_lineage(shapes(texts.select(*key, F.col(kind).alias("kind"), "source", "text")))
     sure = seen.where("shape <> 'word'").select(*key, "source", "shape", F.col("shape").isin("marked", "open", "dangling").alias("cut"))
-    tri = _grams(seen.where("shape in ('word', 'stop', 'dangling')")).groupBy("kind", "t1", "t2", "t3").agg(F.sum((F.col("how") == "bare").cast("long")).alias("bare"), F.sum((F.col("how") != "bare").cast("long")).alias("other"))
+    grams = _grams(seen.where("shape in ('word', 'stop', 'dangling')")).groupBy("kind", "t1", "t2", "t3")
+    tri = cut_lineage(grams.agg(F.sum((F.col("how") == "bare").cast("long")).alias("bare"), F.sum((F.col("how") != "bare").cast("long")).alias("other")))
     bi = tri.groupBy("kind", "t2", "t3").agg(F.sum("bare").alias("bare"), F.sum("other").alias("other"))
     uni = tri.groupBy("kind", "t3").agg(F.sum("bare").alias("bare"), F.sum("other").alias("other"))
     ends = seen.where("shape = 'word'").select(*key, "kind", "source", "shape", *_last_gram())
