@@ -23,7 +23,7 @@ def per_class(df: DataFrame, true: str, pred: str) -> DataFrame:
 
 def macro(classes: DataFrame) -> DataFrame:
     """macro_f1 over all labels, balanced_accuracy over the labels that truly occur."""
-    return classes.agg(F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(F.avg("recall"), 6).alias("balanced_accuracy"))
+    return classes.agg(F.round(F.avg("f1"), 4).alias("macro_f1"), F.round(F.avg("recall"), 4).alias("balanced_accuracy"))
 
 
 def calibration_error(df: DataFrame, confidence: Column, correct: Column, bins: int = 10, least: int = 5) -> DataFrame:

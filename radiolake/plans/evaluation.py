@@ -175,7 +175,7 @@ def per_class_f1(spark: SparkSession, sf: str) -> DataFrame:
     return _classes(spark, sf)
 
 
-@query(f"WITH {FIRST}, {_CLASSES} SELECT round(avg(f1), 6) AS macro_f1, round(avg(recall), 6) AS balanced_accuracy FROM v")
+@query(f"WITH {FIRST}, {_CLASSES} SELECT round(avg(f1), 4) AS macro_f1, round(avg(recall), 4) AS balanced_accuracy FROM v")
 def macro_f1_balanced_acc(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.macro(_classes(spark, sf))
 

@@ -37,7 +37,11 @@ def summary(documents: DataFrame, root: str) -> DataFrame:
 
 def score(documents: DataFrame, split: str) -> DataFrame:
     """path, score of each document as the source of a split."""
-    present = sum((F.exists(F.coalesce("annotations", F.array()), lambda a, k=k: a[k].isNotNull()).cast("int") for k in KEYS), F.lit(0))
+
+    def has(key: str) -> Column:
+        return F.exists(F.coalesce("annotations", F.array()), lambda a: a[key].isNotNull()).cast("int")
+
+    present = sum((has(k) for k in KEYS), F.lit(0))
     low = F.lower("path")
     return documents.select("path", (F.when(low.contains(split), 2).otherwise(0) + present + F.when(low.rlike("diagnosis|disease|triple"), 2).otherwise(0)).alias("score"))
 

@@ -19,8 +19,9 @@ TRACE = f"image_id bigint, image_path string, status string, provider string, gr
 def read_lines(spark: SparkSession, path: str, schema: str, stream: bool = False) -> DataFrame:
     """JSON lines of a schema; blank and damaged lines are skipped."""
     full = StructType.fromDDL(schema).add("_corrupt", "string")
-    reader = (spark.readStream if stream else spark.read).schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-    return reader.json(path).where("_corrupt is null").drop("_corrupt")
+    lines = (spark.readStream if stream else spark.read).text(path)
+    parsed = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("x"))
+    return parsed.where("x is not null and x._corrupt is null").select("x.*").drop("_corrupt")
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
