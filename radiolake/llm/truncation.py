@@ -55,9 +55,11 @@ def left_open(text: str) -> bool:
                 stack.clear()
         elif s == '"':
             string = bool(stack) and stack[-1] in "{["
+        elif s == "“" and stack and stack[-1] == "„":
+            stack.pop()
+        elif s == "”" and stack and stack[-1] == "„":
+            stack.pop()
         elif s in "{[(“„«":
-            stack.append("“" if s == "„" else s)
-        elif s == "“":
             stack.append(s)
         elif s in _CLOSES:
             if _CLOSES[s] in stack:
