@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,26 @@ def session(app: str = "radiolake", cores: int | str = "*", **conf: str) -> Spar
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in {**base, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return shipped(builder.getOrCreate())
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """spark, with this package sent to its executors, once a session: their Python
+    workers may have neither the repository nor its folder on their path."""
+    context = spark.sparkContext
+    if not getattr(context, "_radiolake_shipped", False):
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="radiolake-"), "radiolake.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        context._radiolake_shipped = True
+    return spark
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
