@@ -36,10 +36,12 @@ CODES = list(LANGUAGES)
 SAMPLE_PER_LANGUAGE = 300
 #: Segments per labelled document that are learnt from, and characters of a segment.
 SEGMENTS_PER_DOCUMENT = 12
-STEPS = (140, 280)
+STEPS = (200, 340)
 #: A further language needs a sentence with this probability and this many letters.
 SENTENCE_SURE = 0.95
 SENTENCE_LETTERS = 14
+#: Weight of a document's other sentences in a sentence's prior; the rest is even.
+OTHERS = 0.95
 #: Segments whose probabilities a worker remembers; only speed depends on it.
 KNOWN_SEGMENTS = 200_000
 
@@ -142,9 +144,9 @@ def fit(documents: DataFrame, text: str, lang: str, key: str, per_language: int
     rng = np.random.default_rng(seed)
 
     def written(ss: list[str]) -> list[bytes]:
-        # One in four without accents, one in eight with slips, one in eight wrongly
+        # One in six without accents, one in twelve with slips, one in twenty-four wrongly
         # decoded, as some writers have it.
-        return [as_bytes(_bare(s) if i % 4 == 0 else _slips(s, rng) if i % 8 == 3 else s.encode().decode("cp1252", "replace") if i % 8 == 5 else s) for i, s in enumerate(ss)]
+        return [as_bytes(_bare(s) if i % 6 == 0 else _slips(s, rng) if i % 12 == 3 else s.encode().decode("cp1252", "replace") if i % 24 == 5 else s) for i, s in enumerate(ss)]
 
     net = train(written(found), labels, len(CODES), STEPS[0], seed=seed)
     sure = net.pooled([as_bytes(s) for s in found])
@@ -182,6 +184,11 @@ class Labeller:
             n = np.array([letters(s) for s in ss], np.float64)
             share = (p * n[:, None]).sum(0)
             main = int(share.argmax())
+            # A sentence is read in the light of the others: a language that they don't
+            # have needs so much more from the sentence itself.
+            others = (share - p * n[:, None]) / np.maximum(n.sum() - n, 1)[:, None]
+            p = p * (OTHERS * others + (1 - OTHERS) / len(CODES)) if len(ss) > 1 else p
+            p /= p.sum(1, keepdims=True)
             best, sure = p.argmax(1), p.max(1)
             weak = sure < SENTENCE_SURE
             # An unsure sentence goes with its document.
