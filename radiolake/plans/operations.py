@@ -51,17 +51,34 @@ def think_strip(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents").where("text is not null").select("doc_id", text.without_thinking(t).alias("rest"))
 
 
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages with content once each; i counts from 1."""
+    m = read_table(spark, sf, "agent_trajectory").select("trajectory_id", F.posexplode("messages").alias("i", "m"))
+    return m.select("trajectory_id", (F.col("i") + 1).alias("i"), F.col("m.content").alias("content")).where("content is not null").distinct()
+
+
 _REWARDED = "SELECT trajectory_id, i, CASE WHEN (trajectory_id + i) % 3 = 0 THEN content WHEN (trajectory_id + i) % 3 = 1 THEN '<think>as before</think>' || content ELSE '<think>as before</think> ' END AS c FROM (SELECT DISTINCT trajectory_id, generate_subscripts(messages, 1) AS i, unnest(messages).content AS content FROM agent_trajectory WHERE messages IS NOT NULL) WHERE content IS NOT NULL AND regexp_matches(content, '^[\\x20-\\x7E]*$')"
 
 
 @query(f"""SELECT trajectory_id, i, CASE WHEN contains(c, '<think>') AND trim(regexp_extract(c, '<think>.*?</think>(.*)', 1, 's')) <> '' AND json_valid(trim(regexp_extract(c, '<think>.*?</think>(.*)', 1, 's'))) THEN 1.0 ELSE -1.0 END::DOUBLE AS reward FROM ({_REWARDED})""")
-def format_reward(spark: SparkSession, sf: str) -> DataFrame:
-    m = read_table(spark, sf, "agent_trajectory").select("trajectory_id", F.posexplode("messages").alias("i", "m")).select("trajectory_id", (F.col("i") + 1).alias("i"), F.col("m.content").alias("content")).distinct()
+def format_reward_ascii(spark: SparkSession, sf: str) -> DataFrame:
+    """Check of format_reward's scorer against SQL, on single-line ASCII messages only, a third
+    of them blank behind the thinking: what both engines read alike. format_reward has every message."""
+    m = _messages(spark, sf)
     k = (F.col("trajectory_id") + F.col("i")) % 3
     c = F.when(k == 0, F.col("content")).when(k == 1, F.concat(F.lit("<think>as before</think>"), F.col("content"))).otherwise(F.lit("<think>as before</think> "))
     return m.where(F.col("content").rlike(r"^[\x20-\x7E]*\z")).select("trajectory_id", "i", text.format_reward(c).alias("reward"))
 
 
+@query()
+def format_reward(spark: SparkSession, sf: str) -> DataFrame:
+    """Every message with content, two thirds of them behind a thinking block (no SQL twin:
+    held against a brute-force version in the tests)."""
+    k = (F.col("trajectory_id") + F.col("i")) % 3
+    think = F.when(k == 0, "").when(k == 1, "<think>as before</think>").otherwise("<think>as before</think> ")
+    return _messages(spark, sf).select("trajectory_id", "i", text.format_reward(F.concat(think, "content")).alias("reward"))
+
+
 _VERDICTS = """SELECT trace_id, CASE trace_id % 4 WHEN 0 THEN '{"grounded": true, "reason": "seen"}' WHEN 1 THEN 'So "grounded": true, "reason": "' || coalesce(provider, 'x') || '"' WHEN 2 THEN 'It says "Grounded":false' ELSE coalesce(verifier_reason, '') END AS r FROM (SELECT DISTINCT trace_id, provider, verifier_reason FROM verified_traces WHERE trace_id IS NOT NULL)"""
 
 
