@@ -42,4 +42,4 @@ def basename(c: Column) -> Column:
 
 
 def dirname(c: Column) -> Column:
-    return F.regexp_extract(F.regexp_replace(c, r"\\", "/"), r"^(.*?)/*[^/]*/*$", 1)
+    return F.regexp_extract(F.regexp_replace(c, r"\\", "/"), r"(?s)^(.*?)/*[^/]*/*\z", 1)

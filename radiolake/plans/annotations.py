@@ -287,11 +287,20 @@ def images_with_annotation_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {IMAGES} SELECT id, regexp_extract(source_file, '^(.*)/[^/]*$', 1) AS folder FROM i WHERE source_file IS NOT NULL AND regexp_matches(source_file, '^[a-z_/ 0-9.]+$') AND NOT contains(source_file, '//') AND NOT ends_with(source_file, ' ')""")
-def source_folders(spark: SparkSession, sf: str) -> DataFrame:
+def source_folders_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """Check of dirname against SQL, on the plain spellings only; source_folders has all images."""
     c = F.col("source_file")
     return images(spark, sf).where(c.rlike(r"^[a-z_/ 0-9.]+$") & ~c.contains("//") & ~c.endswith(" ")).select("id", dirname(c).alias("folder"))
 
 
+@query()
+def source_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """The folder of each image's source file, however it is spelled; back slashes are turned,
+    doubled slashes inside stay as in the published dirname (no SQL twin: held
+    against a brute-force version in the tests)."""
+    return images(spark, sf).where("source_file is not null").select("id", dirname(F.col("source_file")).alias("folder"))
+
+
 @query()
 def image_places(spark: SparkSession, sf: str) -> DataFrame:
     """local_path as a place; held against a brute-force version in the tests."""

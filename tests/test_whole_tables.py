@@ -1,10 +1,14 @@
 """Queries that once left rows out, over whole small tables against brute force."""
 
 import json
+import posixpath
 import re
+from datetime import datetime
 
+import duckdb
 import pytest
 
+from helpers import DATA
 from radiolake.plans import CORE_QUERIES
 
 
@@ -38,3 +42,24 @@ def test_format_reward_of_every_message(spark, stored):
     got = sorted(tuple(r) for r in CORE_QUERIES["format_reward"](spark, sf).collect())
     before = ["", "<think>as before</think>", "<think>as before</think> "]
     assert got == [(t, i, reward(before[(t + i) % 3] + c)) for t in range(3) for i, c in enumerate(CONTENTS, 1)]
+
+
+SOURCES = ["data/a/x.json", "data\\a\\x.json", "data//a//x.json", "data/a/x.json ", "data/a /x.json", "Data/Blue-Lamp/X.JSON", "data/zähne/ü.json", "data/a\nb/x.json", "data/a/x.json\n", "./data\\a/x.json", "x.json", " ", "", "file:///data/a%20b/x.json"]
+IMAGE = "id long, file_name string, width int, height int, source_file string, local_path string, loaded_at timestamp"
+
+
+def test_source_folders_of_every_spelling(spark, stored):
+    sf = stored("images_df", [(i, None, 1, 1, s, None, datetime(2024, 1, 1)) for i, s in enumerate([*SOURCES, None])], IMAGE)
+    got = dict(tuple(r) for r in CORE_QUERIES["source_folders"](spark, sf).collect())
+    assert got == {i: posixpath.dirname(s.replace("\\", "/")) for i, s in enumerate(SOURCES)}
+
+
+def latest(column):
+    """The column in the latest row of each image, where there is no doubt which that is."""
+    return dict(duckdb.execute(f"SELECT id, any_value(v) FROM (SELECT id, {column} AS v, rank() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) AS r FROM '{DATA}/sf0.01/images_df.parquet' WHERE id IS NOT NULL) WHERE r = 1 GROUP BY id HAVING count(DISTINCT coalesce(v, '')) = 1").fetchall())
+
+
+def test_source_folders_of_the_whole_table(spark):
+    want = {i: posixpath.dirname(s.replace("\\", "/")) for i, s in latest("source_file").items() if s is not None}
+    got = dict(tuple(r) for r in CORE_QUERIES["source_folders"](spark, f"{DATA}/sf0.01").collect())
+    assert len(want) > 1000 and {i: got.get(i) for i in want} == want
