@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 NODE = "node_table string, label array<int>, value string"
 
@@ -127,3 +128,32 @@ def child_table(df: DataFrame, key: str, arrays: list[str], columns: dict[str, s
             cur = cur.select(key, "_label", F.col(f"_e.{arrays[depth + 1]}").alias("_a"))
     fields = [F.col(f"_e.{path}").alias(name) for name, path in columns.items()] if columns else [F.col("_e.*")]
     return cur.select(F.col(key), label_text(F.col("_label")).alias("label"), label_text(parent_label(F.col("_label"))).alias("parent_label"), *fields)
+
+
+def _storable(s: object) -> str | None:
+    """s if it is text, without lone surrogates, which Arrow can't hold."""
+    return s.encode("utf-8", "replace").decode() if isinstance(s, str) else None
+
+
+def blocks_of(content: str | None) -> list[tuple | None] | None:
+    """(type, text, value) of each content block, value being the block as JSON; a null entry
+    is None. Text that is no JSON array counts as an array of one text."""
+    if content is None:
+        return None
+    try:
+        blocks = json.loads(content)
+    except (ValueError, RecursionError):
+        blocks = None
+    if not isinstance(blocks, list):
+        return [(None, content, None)]
+    out: list[tuple | None] = []
+    for b in blocks:
+        kind, text = (b.get("type"), b.get("text")) if isinstance(b, dict) else (None, b)
+        out.append(None if b is None else (_storable(kind), _storable(text), _storable(json.dumps(b, ensure_ascii=False))))
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(n, StringType()) for n in ("type", "text", "value")])))
+def content_blocks(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in contents:
+        yield batch.map(lambda c: (b := blocks_of(c)) and [x and dict(zip(("type", "text", "value"), x)) for x in b]).astype(object)

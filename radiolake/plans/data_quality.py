@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import place
-from ..operators.nested import child_table, label_text, parent_label, shred_json
+from ..operators.nested import child_table, content_blocks, label_text, parent_label, shred_json
 from ..operators.presence import Reference, orphans
 from ..runtime import read_table
 
@@ -81,6 +81,36 @@ def p5_trajectory_messages(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("trajectory_id", "label", "role", "content").distinct()
 
 
+def p5_trajectory_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn, with calls or without."""
+    got = child_table(read_table(spark, sf, "agent_trajectory"), "trajectory_id", ["turns"], {"turn": "turn", "raw_output": "raw_output", "status": "status"})
+    return got.drop("parent_label").distinct()
+
+
+def p5_trajectory_token_spans(spark: SparkSession, sf: str) -> DataFrame:
+    got = child_table(read_table(spark, sf, "agent_trajectory"), "trajectory_id", ["assistant_token_spans"], {"prompt_len": "prompt_len", "token_ids": "token_ids"})
+    return got.drop("parent_label").distinct()
+
+
+def p5_trajectory_findings(spark: SparkSession, sf: str) -> DataFrame:
+    fields = ("quadrant", "tooth_position", "diagnosis", "confidence")
+    got = child_table(read_table(spark, sf, "agent_trajectory"), "trajectory_id", ["final_answer"], {f: f for f in fields})
+    return got.drop("parent_label").distinct()
+
+
+def p5_trajectory_tool_args(spark: SparkSession, sf: str) -> DataFrame:
+    """The arguments of each call by name; parent_label is the call's label."""
+    calls = child_table(read_table(spark, sf, "agent_trajectory"), "trajectory_id", ["turns", "tool_calls_this_turn"], {"tool_args": "tool_args"})
+    return calls.select("trajectory_id", F.col("label").alias("parent_label"), F.explode("tool_args").alias("name", "value")).distinct()
+
+
+def p5_trajectory_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Content blocks of each message, as p5_found counts them (no SQL twin: held against a
+    brute-force version in the tests)."""
+    m = p5_trajectory_messages(spark, sf).select("trajectory_id", F.col("label").alias("parent_label"), F.posexplode(content_blocks("content")).alias("at", "block")).where("block is not null")
+    return m.select("trajectory_id", F.concat_ws(".", "parent_label", F.col("at").cast("string")).alias("label"), "parent_label", "block.*").distinct()
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_report": p2_report,
@@ -88,6 +118,11 @@ QUERIES = {
     "p5_tables": p5_tables,
     "p5_trajectory_calls": p5_trajectory_calls,
     "p5_trajectory_messages": p5_trajectory_messages,
+    "p5_trajectory_turns": p5_trajectory_turns,
+    "p5_trajectory_token_spans": p5_trajectory_token_spans,
+    "p5_trajectory_findings": p5_trajectory_findings,
+    "p5_trajectory_tool_args": p5_trajectory_tool_args,
+    "p5_trajectory_blocks": p5_trajectory_blocks,
 }
 
 SQL = {
@@ -101,4 +136,18 @@ SQL = {
     "p5_trajectory_messages": """
         WITH u AS (SELECT trajectory_id, generate_subscripts(messages, 1) - 1 AS i, unnest(messages) AS m FROM agent_trajectory WHERE messages IS NOT NULL)
         SELECT DISTINCT trajectory_id, i || '' AS label, m.role AS role, m.content AS content FROM u WHERE m IS NOT NULL""",
+    "p5_trajectory_turns": """
+        WITH u AS (SELECT trajectory_id, generate_subscripts(turns, 1) - 1 AS i, unnest(turns) AS t FROM agent_trajectory WHERE turns IS NOT NULL)
+        SELECT DISTINCT trajectory_id, i || '' AS label, t.turn AS turn, t.raw_output AS raw_output, t.status AS status FROM u WHERE t IS NOT NULL""",
+    "p5_trajectory_token_spans": """
+        WITH u AS (SELECT trajectory_id, generate_subscripts(assistant_token_spans, 1) - 1 AS i, unnest(assistant_token_spans) AS s FROM agent_trajectory WHERE assistant_token_spans IS NOT NULL)
+        SELECT DISTINCT trajectory_id, i || '' AS label, s.prompt_len AS prompt_len, s.token_ids AS token_ids FROM u WHERE s IS NOT NULL""",
+    "p5_trajectory_findings": """
+        WITH u AS (SELECT trajectory_id, generate_subscripts(final_answer, 1) - 1 AS i, unnest(final_answer) AS f FROM agent_trajectory WHERE final_answer IS NOT NULL)
+        SELECT DISTINCT trajectory_id, i || '' AS label, f.quadrant AS quadrant, f.tooth_position AS tooth_position, f.diagnosis AS diagnosis, f.confidence AS confidence FROM u WHERE f IS NOT NULL""",
+    "p5_trajectory_tool_args": """
+        WITH u AS (SELECT trajectory_id, generate_subscripts(turns, 1) - 1 AS i, unnest(turns) AS t FROM agent_trajectory WHERE turns IS NOT NULL),
+        c AS (SELECT trajectory_id, i, generate_subscripts(t.tool_calls_this_turn, 1) - 1 AS j, unnest(t.tool_calls_this_turn) AS call FROM u WHERE t.tool_calls_this_turn IS NOT NULL),
+        e AS (SELECT trajectory_id, i || '.' || j AS parent_label, unnest(map_entries(call.tool_args)) AS e FROM c WHERE call.tool_args IS NOT NULL)
+        SELECT DISTINCT trajectory_id, parent_label, e.key AS name, e.value AS value FROM e""",
 }

@@ -63,3 +63,39 @@ def test_source_folders_of_the_whole_table(spark):
     want = {i: posixpath.dirname(s.replace("\\", "/")) for i, s in latest("source_file").items() if s is not None}
     got = dict(tuple(r) for r in CORE_QUERIES["source_folders"](spark, f"{DATA}/sf0.01").collect())
     assert len(want) > 1000 and {i: got.get(i) for i in want} == want
+
+
+TRAJECTORY = """trajectory_id long, turns array<struct<turn int, raw_output string, status string, tool_calls_this_turn array<struct<tool_name string, tool_args map<string,string>, tool_ok boolean, tool_error string>>>>,
+    final_answer array<struct<quadrant int, tooth_position int, diagnosis string, confidence double>>, assistant_token_spans array<struct<prompt_len int, token_ids array<int>>>, messages array<struct<role string, content string>>"""
+
+
+def test_trajectory_children(spark, stored):
+    calls = [None, ("zoom", {"x": "1", "y": None}, True, None), ("view", None, False, "e"), ("view", {}, True, None)]
+    contents = ["Grüße", '[{"type": "image", "image": "<Image>"}, null, {"type": "text", "text": "ü"}, "and", 5]', "[]", '[{"type": "te', '[1] and more', '{"thought": "t"}', "null", "", None, '["\\ud800"]']
+    row = (1, [(0, "raw", "ok", calls), None, (2, None, None, None)], [(1, 2, "Caries", 0.5), None, (None,) * 4], [None, (3, [7, 8]), (4, None)], [None, *[("user", c) for c in contents]])
+    sf = stored("agent_trajectory", [row, row, (2, None, None, None, None), (3, [], [], [], [])], TRAJECTORY)
+    rows = lambda name, *columns: sorted((tuple(r) for r in CORE_QUERIES[f"p5_trajectory_{name}"](spark, sf).select("trajectory_id", *columns).collect()), key=repr)
+    assert rows("turns", "label", "turn", "raw_output", "status") == [(1, "0", 0, "raw", "ok"), (1, "2", 2, None, None)]
+    assert rows("token_spans", "label", "prompt_len", "token_ids") == [(1, "1", 3, [7, 8]), (1, "2", 4, None)]
+    assert rows("findings", "label", "quadrant", "tooth_position", "diagnosis", "confidence") == [(1, "0", 1, 2, "Caries", 0.5), (1, "2", None, None, None, None)]
+    assert rows("tool_args", "parent_label", "name", "value") == [(1, "0.1", "x", "1"), (1, "0.1", "y", None)]
+    want = [
+        (1, "1.0", "1", None, "Grüße", None), (1, "2.0", "2", "image", None, '{"type": "image", "image": "<Image>"}'), (1, "2.2", "2", "text", "ü", '{"type": "text", "text": "ü"}'), (1, "2.3", "2", None, "and", '"and"'), (1, "2.4", "2", None, None, "5"),
+        *[(1, f"{i}.0", f"{i}", None, contents[i - 1], None) for i in (4, 5, 6, 7, 8)], (1, "10.0", "10", None, "?", '"?"'),
+    ]
+    assert rows("blocks", "label", "parent_label", "type", "text", "value") == sorted(want, key=repr)
+
+
+def test_trajectory_blocks_of_the_whole_table(spark):
+    def blocks(content):
+        try:
+            got = json.loads(content)
+        except ValueError:
+            got = content
+        return [(i, b.get("text") if isinstance(b, dict) else b) for i, b in enumerate(got if isinstance(got, list) else [content]) if b is not None]
+
+    sf = f"{DATA}/sf0.01"
+    messages = duckdb.execute(f"SELECT DISTINCT trajectory_id, i, m.content FROM (SELECT trajectory_id, generate_subscripts(messages, 1) - 1 AS i, unnest(messages) AS m FROM '{sf}/agent_trajectory.parquet') WHERE m.content IS NOT NULL").fetchall()
+    want = {(t, f"{i}.{j}", f"{i}", text) for t, i, content in messages for j, text in blocks(content)}
+    got = CORE_QUERIES["p5_trajectory_blocks"](spark, sf).select("trajectory_id", "label", "parent_label", "text").collect()
+    assert len(want) > 4000 and {tuple(r) for r in got} == want
