@@ -60,9 +60,10 @@ def bootstrap_mean(df: DataFrame, row_id: str, value: Column, replicates: int, s
     for all replicates and nothing but replicates x 2 sums is shuffled; resampling by
     index would shuffle replicates x rows. Nulls are left out.
     """
+    stride = max(1000, replicates)  # a shorter one would give neighbouring ids each other's draws
     v = df.select(F.col(row_id).cast("bigint").alias("i"), value.cast("double").alias("v")).where("v is not null and i is not null")
     each = v.select("i", "v", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
-    weighted = each.withColumn("w", resampling_weight(F.col("i") * 1000 + F.col("b"), seed))
+    weighted = each.withColumn("w", resampling_weight(F.col("i") * stride + F.col("b"), seed))
     means = weighted.groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     ends = means.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"))
     return v.agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("point")).join(ends)

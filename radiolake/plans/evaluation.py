@@ -231,16 +231,38 @@ def _bootstrap_sql(relation: str, key: str, value: str, replicates: int, seed: i
     SELECT (SELECT count(*) FROM v) AS n, (SELECT round(avg(v), 6) FROM v) AS point, (SELECT round(quantile_cont(m, 0.025), 6) FROM m) AS low, (SELECT round(quantile_cont(m, 0.975), 6) FROM m) AS high"""
 
 
+def _paired_ci(spark: SparkSession, sf: str, replicates: int) -> DataFrame:
+    return metrics.bootstrap_mean(_runs(spark, sf), "image_id", F.col("a") - F.col("b"), replicates, 0)
+
+
+def _metric_ci(spark: SparkSession, sf: str, replicates: int) -> DataFrame:
+    pr, tr = F.col("pr"), F.col("tr")
+    exact = F.coalesce((pr["quadrant"] == tr["quadrant"]) & (pr["tooth_position"] == tr["tooth_position"]) & (scoring.clean(pr["diagnosis"]) == scoring.clean(tr["diagnosis"])), F.lit(False))
+    return metrics.bootstrap_mean(first_pairs(spark, sf), "record_id", exact.cast("double"), replicates, 42)
+
+
 @query(f"WITH {FIRST}, {_RUNS}, dd AS (SELECT image_id, a - b AS x FROM d), {_bootstrap_sql('dd', 'image_id', 'x', 200, 0)}")
+def paired_bootstrap_ci_200(spark: SparkSession, sf: str) -> DataFrame:
+    """Check of the resampling against SQL, on 200 replicates; the full number is in paired_bootstrap_ci."""
+    return _paired_ci(spark, sf, 200)
+
+
+@query()
 def paired_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.bootstrap_mean(_runs(spark, sf), "image_id", F.col("a") - F.col("b"), 200, 0)
+    """2000 replicates, as published (no SQL twin: held against a brute-force version in the tests)."""
+    return _paired_ci(spark, sf, 2000)
 
 
 @query(f"WITH {FIRST}, e AS (SELECT record_id, ({_Q} AND {_T} AND {_DD})::INT AS x FROM f), {_bootstrap_sql('e', 'record_id', 'x', 200, 42)}")
+def metric_bootstrap_ci_200(spark: SparkSession, sf: str) -> DataFrame:
+    """Check of the resampling against SQL, on 200 replicates; the full number is in metric_bootstrap_ci."""
+    return _metric_ci(spark, sf, 200)
+
+
+@query()
 def metric_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    pr, tr = F.col("pr"), F.col("tr")
-    exact = F.coalesce((pr["quadrant"] == tr["quadrant"]) & (pr["tooth_position"] == tr["tooth_position"]) & (scoring.clean(pr["diagnosis"]) == scoring.clean(tr["diagnosis"])), F.lit(False))
-    return metrics.bootstrap_mean(first_pairs(spark, sf), "record_id", exact.cast("double"), 200, 42)
+    """1000 replicates, as published (no SQL twin: held against a brute-force version in the tests)."""
+    return _metric_ci(spark, sf, 1000)
 
 
 _FAIL = f"""CASE WHEN NOT format_ok THEN 'format_failure' WHEN {_Q} AND {_T} AND coalesce(lower(pr.diagnosis) = lower(tr.diagnosis), false) THEN 'correct' WHEN {_Q} AND {_T} THEN 'wrong_diagnosis_right_location'

@@ -6,10 +6,13 @@ import re
 from datetime import datetime
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import DATA
-from radiolake.plans import CORE_QUERIES
+from radiolake.operators import metrics
+from radiolake.plans import CORE_QUERIES, evaluation
 
 
 @pytest.fixture
@@ -99,3 +102,39 @@ def test_trajectory_blocks_of_the_whole_table(spark):
     want = {(t, f"{i}.{j}", f"{i}", text) for t, i, content in messages for j, text in blocks(content)}
     got = CORE_QUERIES["p5_trajectory_blocks"](spark, sf).select("trajectory_id", "label", "parent_label", "text").collect()
     assert len(want) > 4000 and {tuple(r) for r in got} == want
+
+
+def poisson_interval(rows, replicates, seed):
+    """The interval from weights drawn one by one in plain Python, ids far enough apart for the replicates."""
+    v = {i: x for i, x in rows if i is not None and x is not None}
+    assert len(v) == sum(i is not None and x is not None for i, x in rows)
+    stride, p = max(1000, replicates), 2147483647
+    at = np.array([[i * stride + b for i in v] for b in range(1, replicates + 1)], dtype=np.int64)
+    h = (at * 48271 + seed * 69621 + 12345) % p
+    u = (h * h + at) % p * 48271 % p / p
+    w = sum((u > x).astype(int) for x in metrics.POISSON)
+    x = np.array([*v.values()])
+    means = (w * x).sum(1) / w.sum(1)
+    return len(v), float(x.mean()), *(float(np.percentile(means, q)) for q in (2.5, 97.5))
+
+
+@pytest.mark.parametrize("name, replicates, seed", [("paired_bootstrap_ci", 2000, 0), ("metric_bootstrap_ci", 1000, 42)])
+def test_bootstrap_of_all_replicates(spark, name, replicates, seed):
+    sf = f"{DATA}/sf0.01"
+    if name.startswith("paired"):
+        rows = [(r["image_id"], r["a"] - r["b"]) for r in evaluation._runs(spark, sf).collect()]
+    else:
+        clean = lambda d: d and d.strip(" ").lower()
+        same = lambda a, b: a is not None and a == b
+        pairs = evaluation.first_pairs(spark, sf).select("record_id", "pr", "tr").collect()
+        rows = [(r["record_id"], float(bool(r["pr"] and same(r["pr"]["quadrant"], r["tr"]["quadrant"]) and same(r["pr"]["tooth_position"], r["tr"]["tooth_position"]) and same(clean(r["pr"]["diagnosis"]), clean(r["tr"]["diagnosis"]))))) for r in pairs]
+    got = tuple(CORE_QUERIES[name](spark, sf).first())
+    assert got == pytest.approx(poisson_interval(rows, replicates, seed), abs=2e-6)
+    assert got[2] <= got[1] <= got[3] and got[2] < got[3]
+
+
+def test_neighbouring_ids_draw_on_their_own(spark):
+    """Of two rows at distance 1 the first must not take the draws of the second 1000 replicates on."""
+    df = spark.createDataFrame([(i, float(i % 2)) for i in range(300)], "i long, v double")
+    got = tuple(metrics.bootstrap_mean(df, "i", F.col("v"), 2000, 0).first())
+    assert got == pytest.approx(poisson_interval([(i, float(i % 2)) for i in range(300)], 2000, 0), abs=2e-6)
