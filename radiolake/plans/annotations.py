@@ -137,10 +137,18 @@ def path_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {IMAGES} SELECT id, regexp_extract(file_name, '([^/]*)$', 1) AS base FROM i WHERE file_name IS NOT NULL AND NOT contains(file_name, chr(92))""")
-def image_basenames(spark: SparkSession, sf: str) -> DataFrame:
+def image_basenames_slashed(spark: SparkSession, sf: str) -> DataFrame:
+    """Check of basename against SQL, on names without back slashes only; image_basenames has all images."""
     return images(spark, sf).where(F.col("file_name").isNotNull() & ~F.contains("file_name", F.lit("\\"))).select("id", basename(F.col("file_name")).alias("base"))
 
 
+@query()
+def image_basenames(spark: SparkSession, sf: str) -> DataFrame:
+    """The last segment of each image's file name, back slashes turned (no SQL twin: held
+    against a brute-force version in the tests)."""
+    return images(spark, sf).where("file_name is not null").select("id", basename(F.col("file_name")).alias("base"))
+
+
 _NAMES_Q = " ".join(f"WHEN {k} THEN '{v}'" for k, v in fdi.QUADRANTS.items())
 _NAMES_P = " ".join(f"WHEN {k} THEN '{v}'" for k, v in fdi.POSITIONS.items())
 

@@ -138,3 +138,16 @@ def test_neighbouring_ids_draw_on_their_own(spark):
     df = spark.createDataFrame([(i, float(i % 2)) for i in range(300)], "i long, v double")
     got = tuple(metrics.bootstrap_mean(df, "i", F.col("v"), 2000, 0).first())
     assert got == pytest.approx(poisson_interval([(i, float(i % 2)) for i in range(300)], 2000, 0), abs=2e-6)
+
+
+def test_image_basenames_of_every_spelling(spark, stored):
+    names = ["x.png", ".\\scans\\x.png", "C:\\a b\\X-1.PNG", "a\\b/x.png", "a/b\\x.png", "//h\\ü.png", "a\\\\x.png", "a\nb\\x.png", "a\\x.png\n", " ", ""]
+    sf = stored("images_df", [(i, n, 1, 1, None, None, datetime(2024, 1, 1)) for i, n in enumerate([*names, None])], IMAGE)
+    got = dict(tuple(r) for r in CORE_QUERIES["image_basenames"](spark, sf).collect())
+    assert got == {i: posixpath.basename(n.replace("\\", "/")) for i, n in enumerate(names)}
+
+
+def test_image_basenames_of_the_whole_table(spark):
+    want = {i: posixpath.basename(n.replace("\\", "/")) for i, n in latest("file_name").items() if n is not None}
+    got = dict(tuple(r) for r in CORE_QUERIES["image_basenames"](spark, f"{DATA}/sf0.01").collect())
+    assert any("\\" in n for n in latest("file_name").values() if n) and {i: got.get(i) for i in want} == want
