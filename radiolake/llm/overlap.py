@@ -16,7 +16,8 @@ DERIVED = (
     "crop|cropped|resized|small|thumb|aug|augmented|rot|rotated|v|ver|version"
 )
 _TAIL = rf"(?:\.(?:{IMAGE_TYPES})|[\s_.\-]+(?:{DERIVED})[\s_\-]?\d*|[\s_\-]*\(\d+\)|~)+\s*$"
-#: Letters of a name from which on one typing error is looked for; shorter ones are words, not codes.
+#: Letters of a name from which on a typing error may lie in its digits: those of a code. The
+#: digits of a shorter name are a running number ('img12'), so they must agree.
 FUZZY_FROM = 6
 
 
@@ -45,10 +46,17 @@ def one_slip(x: Column, y: Column) -> Column:
 
 
 def variants(text: Column) -> Column:
-    """The text and, for codes, each text with one letter left out: two texts one slip
-    apart share a variant."""
+    """The text and each text with one letter left out, but no empty one: two texts one
+    slip apart share a variant, unless they have no letter in common."""
     each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
-    return F.when(F.length(text) >= FUZZY_FROM, F.array_distinct(F.concat(F.array(text), each))).otherwise(F.array(text))
+    return F.array_distinct(F.concat(F.array(text), F.filter(each, lambda x: x != "")))
+
+
+def near(x: Column, y: Column) -> Column:
+    """Equal or one slip apart; of two short names only in what isn't a digit."""
+    digits = lambda c: F.regexp_replace(c, r"\D", "")
+    code = F.greatest(F.length(x), F.length(y)) >= FUZZY_FROM
+    return (x == y) | (one_slip(x, y) & (code | (digits(x) == digits(y))))
 
 
 def split_names(images: DataFrame, files: DataFrame, root: str = "data/") -> DataFrame:
@@ -76,8 +84,7 @@ def _name_pairs(names: DataFrame) -> DataFrame:
     t = keyed.where("in_train").select("h", *[F.col(c).alias(f"t_{c}") for c in NAME])
     e = keyed.where("in_eval").select("h", *[F.col(c).alias(f"e_{c}") for c in NAME])
     same = (F.col("t_number") == F.col("e_number")) & (F.col("t_width") == F.col("e_width")) & (F.col("t_height") == F.col("e_height"))
-    near = (F.col("t_text") == F.col("e_text")) | one_slip(F.col("t_text"), F.col("e_text"))
-    return t.join(e, "h").where(same & near).drop("h").distinct()
+    return t.join(e, "h").where(same & near(F.col("t_text"), F.col("e_text"))).drop("h").distinct()
 
 
 def overlaps(names: DataFrame) -> DataFrame:
