@@ -16,22 +16,62 @@ class Data:
     root: str = "data"
     split: str = "train"
     combine: bool = False
-    holdout_share: float = 0.1
+    target_size: tuple[int, int] = (1024, 512)
+    holdout_fraction: float = 0.2
     folds: int = 5
+    parquet_cache: bool = True
+
+
+@dataclass(frozen=True)
+class Model:
+    name: str = ""
+    load_in_4bit: bool = True
+    max_new_tokens: int = 512
 
 
 @dataclass(frozen=True)
 class Weights:
-    format: float = 0.1
-    validity: float = 0.2
-    efficiency: float = 0.2
-    accuracy: float = 0.5
+    accuracy: float = 1.0
+    format: float = 0.2
+    tool_validity: float = 0.2
+    efficiency: float = 0.1
+    judge: float = 0.0
+
+
+@dataclass(frozen=True)
+class Adapter:
+    r: int = 16
+    alpha: int = 32
+    dropout: float = 0.05
+
+
+@dataclass(frozen=True)
+class Training:
+    lora: Adapter = field(default_factory=Adapter)
+    reward_weights: Weights = field(default_factory=Weights)
+    group_size: int = 4
+    clip_eps: float = 0.2
+    kl_beta: float = 0.04
+    max_tool_calls: int = 4
+
+
+@dataclass(frozen=True)
+class Api:
+    generator_provider: str = "local"
+    verifier_provider: str = ""
+    rpm_limit: int = 5
+    rpd_limit: int = 20
+    safety_margin: float = 0.95
+    max_retries: int = 3
+    retry_delay: float = 5.0
 
 
 @dataclass(frozen=True)
 class Evaluation:
-    replicates: int = 1000
-    bins: int = 10
+    judge_sample_n: int = 10
+    bootstrap_n: int = 2000
+    bootstrap_ci: float = 0.95
+    ece_n_bins: int = 10
     max_calls: int = 50
     calls_per_finding: int = 6
 
@@ -46,8 +86,11 @@ class Limits:
 @dataclass(frozen=True)
 class Config:
     seed: int = 42
+    environment: str = "auto"
     data: Data = field(default_factory=Data)
-    weights: Weights = field(default_factory=Weights)
+    model: Model = field(default_factory=Model)
+    training: Training = field(default_factory=Training)
+    api: Api = field(default_factory=Api)
     evaluation: Evaluation = field(default_factory=Evaluation)
     limits: Limits = field(default_factory=Limits)
 
@@ -66,7 +109,7 @@ def build(kind: type, values: dict) -> Any:
     if unknown := set(values) - set(fields):
         raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
     default = kind()
-    return kind(**{k: build(type(getattr(default, k)), v) if isinstance(v, dict) else v for k, v in values.items()})
+    return kind(**{k: build(type(getattr(default, k)), v) if isinstance(v, dict) else tuple(v) if isinstance(v, list) else v for k, v in values.items()})
 
 
 def read(path: str) -> dict:

@@ -10,10 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Names of quadrants and positions.
-QUADRANTS = {1: "upper right", 2: "upper left", 3: "lower left", 4: "lower right"}
+QUADRANTS = {1: "Maxillary Right (Upper Right)", 2: "Maxillary Left (Upper Left)", 3: "Mandibular Left (Lower Left)", 4: "Mandibular Right (Lower Right)"}
 POSITIONS = {
-    1: "central incisor", 2: "lateral incisor", 3: "canine", 4: "first premolar",
-    5: "second premolar", 6: "first molar", 7: "second molar", 8: "third molar",
+    1: "Central Incisor", 2: "Lateral Incisor", 3: "Canine", 4: "First Premolar",
+    5: "Second Premolar", 6: "First Molar", 7: "Second Molar", 8: "Third Molar (Wisdom Tooth)",
 }
 
 
@@ -45,9 +45,20 @@ def label(q: Column, p: Column) -> Column:
 
 
 def name(q: Column, p: Column) -> Column:
+    """The tooth's name with its number; what isn't known is named by its number, '??' for no tooth. Null for a null part."""
     quadrant = F.create_map(*[F.lit(x) for kv in QUADRANTS.items() for x in kv])
     position = F.create_map(*[F.lit(x) for kv in POSITIONS.items() for x in kv])
-    return F.when(valid(q, p), F.concat(quadrant[q], F.lit(" "), position[p]))
+    words = F.coalesce(quadrant[q], F.concat(F.lit("Quadrant "), q.cast("string"))), F.coalesce(position[p], F.concat(F.lit("Tooth "), p.cast("string")))
+    return F.concat(words[0], F.lit(" "), words[1], F.lit(" (FDI #"), F.coalesce(label(q, p), F.lit("??")), F.lit(")"))
+
+
+def read_number(c: Column) -> tuple[Column, Column, Column]:
+    """(quadrant, position, why not) of a tooth number given as text: two digits, of a
+    tooth that there is. Null counts as bad."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    q, p = F.substring(text, 1, 1).try_cast("int"), F.substring(text, 2, 1).try_cast("int")
+    why = F.when(F.length(text) != 2, F.concat(F.lit("not two digits: "), text)).when(q.isNull() | p.isNull(), F.concat(F.lit("not a number: "), text)).when(~valid(q, p), F.concat(F.lit("no such tooth: "), text))
+    return F.when(why.isNull(), q), F.when(why.isNull(), p), why
 
 
 def flipped(q: Column, strict: bool = False) -> Column:

@@ -84,6 +84,13 @@ def nudged(b: Box, width: Column, height: Column, dx: Column, dy: Column, scale:
     return Box(*[F.when(ok, F.round(c, 1)) for c in (x, y, w, h)])
 
 
+def box_error(c: Column) -> Column:
+    """Why an array is no usable box, null if it is one."""
+    b = of_array(c)
+    whole = F.coalesce(F.size(c) == 4, F.lit(False)) & b.x.isNotNull() & b.y.isNotNull() & b.w.isNotNull() & b.h.isNotNull()
+    return F.when(~whole, "the box must be x, y, w, h").when((b.w <= 0) | (b.h <= 0), "width and height must be positive")
+
+
 def mirrored(b: Box, width: Column, height: Column, quadrant: Column) -> Box:
     """The window across the vertical midline, within the jaw of the quadrant, as
     corners of whole pixels; nulls if nothing of it is left."""

@@ -59,5 +59,17 @@ def audit(df: DataFrame, provider: str, role: str, micros: str, tie: list[str],
     )
 
 
+def round_robin(df: DataFrame, micros: str, tie: list[str], keys: int, per_minute: int, per_day: int, margin: float = 0.95) -> DataFrame:
+    """Per key and day: calls, and how many came too soon after the key's call before or
+    above its daily cap, if calls are dealt to the keys in turn. Rates are cut by the
+    margin, to 1 at least. The global number of a call is counted by minutes."""
+    rate, cap = max(1, int(per_minute * margin)), max(1, int(per_day * margin))
+    dealt = running_total(df, [], [micros, *tie], F.lit(1), "_nr", bucket=F.floor(F.col(micros) / 60_000_000)).withColumn("key", F.col("_nr") % keys)
+    c = dealt.withColumn("day", F.floor(F.col(micros) / 86_400_000_000).cast("int"))
+    c = since_last(c, ["key"], micros, tie, "gap")
+    c = daily_number(c, ["key"], "day", micros, tie, "number")
+    return c.groupBy("key", "day").agg(F.count("*").alias("calls"), F.count_if(F.col("number") > cap).alias("over_cap"), F.count_if(F.col("gap") < 60_000_000 // rate).alias("waited"))
+
+
 def calls_micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))

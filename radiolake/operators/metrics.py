@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import mixed
-
 
 def share(c: Column) -> Column:
     return F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6)
@@ -43,41 +45,56 @@ def calibration_error(df: DataFrame, confidence: Column, correct: Column, bins:
 POISSON = [0.367879441171, 0.735758882343, 0.919698602929, 0.981011843124, 0.996340153173, 0.999405815182, 0.999916758850, 0.999989750803]
 
 
-def resampling_weight(c: Column, seed: int) -> Column:
-    """How often a row is drawn in a resample: Poisson(1), from a hash of row and replicate."""
-    u = mixed(c, seed) / 2147483647.0
-    return sum((F.when(u > p, 1).otherwise(0) for p in POISSON), F.lit(0))
-
-
 def resampling_weight_sql(u: str) -> str:
     return "(" + " + ".join(f"CASE WHEN {u} > {p} THEN 1 ELSE 0 END" for p in POISSON) + ")"
 
 
-def bootstrap_mean(df: DataFrame, row_id: str, value: Column, replicates: int, seed: int) -> DataFrame:
-    """n, point, low, high: the mean with its 95 % percentile interval.
+#: Rows whose draws for all replicates are made at a time: bounds a task's memory.
+DRAWN_ROWS = 512
 
-    Every row draws its own weight for each replicate, so tasks add up their rows
-    for all replicates and nothing but replicates x 2 sums is shuffled; resampling by
-    index would shuffle replicates x rows. Nulls are left out.
-    """
+
+def _draws(ids: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """How often each row (axis 1) is drawn in each resample (axis 0): Poisson(1), from a
+    hash of row and replicate that SQL engines compute alike."""
     stride = max(1000, replicates)  # a shorter one would give neighbouring ids each other's draws
-    v = df.select(F.col(row_id).cast("bigint").alias("i"), value.cast("double").alias("v")).where("v is not null and i is not null")
-    each = v.select("i", "v", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
-    weighted = each.withColumn("w", resampling_weight(F.col("i") * stride + F.col("b"), seed))
-    means = weighted.groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    ends = means.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"))
-    return v.agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("point")).join(ends)
+    at = ids[None, :] * stride + np.arange(1, replicates + 1)[:, None]
+    h = (at * 48271 + (seed * 69621 + 12345)) % 2147483647
+    u = (h * h + at) % 2147483647 * 48271 % 2147483647 / 2147483647
+    return np.searchsorted(np.array(POISSON), u, side="left").astype(np.float64)
 
 
-def advantage(reward: str, group: str) -> Column:
-    """Reward against its group's mean, in units of its population deviation.
+def bootstrap(df: DataFrame, row_id: str, parts: dict[str, Column], metric: Callable[[dict[str, Column]], Column], replicates: int, seed: int, share: float = 0.95) -> DataFrame:
+    """n, point, low, high: a metric with its percentile interval.
 
-    The group's figures come from a window; see with_advantage for the plan that
-    aggregates before it shuffles."""
-    from pyspark.sql import Window
+    metric is any function of sums over the rows: it is given the sum of each part and
+    of the rows themselves ('n') and gives a Column. Every task draws its rows' weights
+    for all replicates, multiplies them with the parts as matrices and gives one row of
+    sums per replicate, so nothing else is shuffled. Rows with a null id or part are
+    left out. A resample without rows has no value; without rows the result is n = 0.
+    """
+    names = list(parts)
+    sums = ["n", *names]
+    v = df.select(F.col(row_id).cast("bigint").alias("_i"), *[c.cast("double").alias(f"_{n}") for n, c in parts.items()]).dropna()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((replicates, len(sums)))
+        for b in batches:
+            ids, x = b["_i"].to_numpy(), np.c_[np.ones(len(b)), b[[f"_{n}" for n in names]].to_numpy()]
+            for k in range(0, len(b), DRAWN_ROWS):
+                total += _draws(ids[k : k + DRAWN_ROWS], replicates, seed) @ x[k : k + DRAWN_ROWS]
+        yield pd.DataFrame(total, columns=[f"_{n}" for n in sums]).assign(_b=np.arange(replicates))
+
+    drawn = v.mapInPandas(run, ", ".join(f"_{n} double" for n in sums) + ", _b long").groupBy("_b").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
+    value = metric({n: F.col(f"_{n}") for n in sums})
+    low = (1 - share) / 2
+    ends = drawn.where("_n > 0").agg(F.struct(F.round(F.percentile(value, low), 6).alias("low"), F.round(F.percentile(value, 1 - low), 6).alias("high")).alias("e")).scalar()  # as many values as replicates
+    point = v.agg(F.count("*").cast("double").alias("_n"), *[F.sum(f"_{n}").alias(f"_{n}") for n in names])
+    return point.select(F.col("_n").cast("bigint").alias("n"), F.when(F.col("_n") > 0, F.round(value, 6)).alias("point"), ends.alias("e")).select("n", "point", "e.low", "e.high")
 
-    w = Window.partitionBy(group)
-    return (F.col(reward) - F.avg(reward).over(w)) / (F.stddev_pop(reward).over(w) + 1e-4)
+
+def bootstrap_mean(df: DataFrame, row_id: str, value: Column, replicates: int, seed: int) -> DataFrame:
+    """n, point, low, high: the mean with its 95 % percentile interval."""
+    return bootstrap(df, row_id, {"v": value}, lambda s: s["v"] / s["n"], replicates, seed)
 
 
 def with_advantage(df: DataFrame, reward: str, group: str) -> DataFrame:

@@ -9,7 +9,11 @@ NO_INTS = "array<int>"
 # Tools that cost nothing, and their like that cost a fifth.
 FREE_TOOLS = ("locate_tooth", "nudge_crop")
 CHEAP_TOOLS = ("fdi_label",)
-WEIGHTS = {"format": 0.1, "validity": 0.2, "efficiency": 0.2, "accuracy": 0.5}
+# All tools.
+TOOLS = ["locate_tooth", "zoom_crop", "nudge_crop", "window_level", "denoise", "enhance_contrast", "contralateral_compare", "fdi_label"]
+# The default weights, and the weight vectors of the sweep in the same order.
+WEIGHTS = {"accuracy": 1.0, "format": 0.2, "validity": 0.2, "efficiency": 0.1}
+GRID = [(1.0, 0.2, 0.2, 0.1), (1.0, 0.0, 0.0, 0.0), (1.0, 0.1, 0.4, 0.1), (1.0, 0.4, 0.1, 0.1), (0.7, 0.2, 0.2, 0.1)]
 
 
 def clean(c: Column) -> Column:
@@ -113,6 +117,11 @@ def call_count_score(n: Column) -> Column:
     return F.when(n == 0, -0.2).when(n <= 4, n * 0.1).otherwise(0.4 - (n - 4) * 0.5)
 
 
+def overrun_penalty(n: Column, budget: int = 4, each: float = 0.1) -> Column:
+    """Minus a share for each call beyond the budget; 0 within it."""
+    return -F.greatest(n - budget, F.lit(0)) * each + F.lit(0.0)
+
+
 def tool_name_score(tool: Column, known: list[str]) -> Column:
     return F.when(F.coalesce(tool.isin(known), F.lit(False)), 0.2).otherwise(-0.5)
 
@@ -153,3 +162,9 @@ def detections(preds: Column, gts: Column, score: str, overlap, cutoff: float =
         return F.when(hit, F.struct(F.concat(acc["used"], F.array(best["j"])).alias("used"), (acc["tp"] + 1).alias("tp"), acc["fp"].alias("fp"))).otherwise(F.struct(acc["used"].alias("used"), acc["tp"].alias("tp"), (acc["fp"] + 1).alias("fp")))
 
     return F.aggregate(ordered, start, step, lambda acc: F.struct(acc["tp"].alias("tp"), acc["fp"].alias("fp"), (F.size(gts) - acc["tp"]).alias("fn")))
+
+
+def box_hint(gts: Column, tooth: Column) -> Column:
+    """The box of the first true finding at a tooth (two-digit number) that has one."""
+    there = F.filter(gts, lambda f: (f["quadrant"] == F.floor(tooth / 10)) & (f["tooth_position"] == tooth % 10) & f["bbox"].isNotNull())
+    return F.when(tooth.between(10, 99), F.get(there, 0)["bbox"])

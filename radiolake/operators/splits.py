@@ -16,8 +16,8 @@ from .ranking import BUCKETS, mixed, mixed_sql, running_total
 def ranked(ids: DataFrame, column: str, seed: int) -> DataFrame:
     """Each distinct non-null id with its rank (from 0) and the number n of ids."""
     one = ids.select(F.col(column).cast("bigint").alias("id")).where("id is not null").distinct().withColumn("h", mixed(F.col("id"), seed))
-    r = running_total(one, [], ["h", "id"], F.lit(1), "rank", bucket=F.floor(F.col("h") / (2147483647 // BUCKETS + 1)))
-    return r.join(one.agg(F.count("*").alias("n"))).select("id", "rank", "n")
+    r = running_total(one, [], ["h", "id"], F.lit(1), "rank", bucket=F.floor(F.col("h") / (2147483647 // BUCKETS + 1)), whole="n")
+    return r.select("id", "rank", "n")
 
 
 def ranked_sql(relation: str, column: str, seed: int) -> str:

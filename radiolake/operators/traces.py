@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,3 +77,30 @@ def error_streak(df: DataFrame, key: str, order: str, error: Column) -> DataFram
     streak = F.sum("_e").over(W.partitionBy(key, "_island").orderBy(order))
     d = d.withColumn("streak", streak)
     return d.withColumn("verdict", F.when(F.col("streak") >= 3, "fatal").when(F.col("streak") == 2, "recover").otherwise("go on")).drop("_e", "_island")
+
+
+def examples(df: DataFrame, key: str, image: str, items: str, target: Callable[[Column], Column]) -> DataFrame:
+    """key, i, prompt, target: one training example for each item of a record's list. Null
+    lists and items give none; an unknown image is told as such."""
+    # Fixed value: the prompt's wording.
+    prompt = F.concat(F.lit("Analyze this panoramic X-ray (image_id="), F.coalesce(F.col(image).cast("string"), F.lit("unknown")), F.lit(")."))
+    return df.select(key, prompt.alias("prompt"), F.posexplode(items).alias("i", "x")).where("x is not null").select(key, "i", "prompt", target(F.col("x")).alias("target"))
+
+
+def grounding_rate(judged: DataFrame, grounded: str = "grounded") -> DataFrame:
+    """n, grounded and their rate (0 for none) of a judge's verdicts; null counts as no."""
+    good = F.count_if(F.coalesce(F.col(grounded), F.lit(False)))
+    return judged.agg(F.count("*").alias("n"), good.alias(grounded), F.round(good / F.greatest(F.count("*"), F.lit(1)), 6).alias("rate"))
+
+
+def run_agent(todo: DataFrame, key: str, answer: Callable[[pd.DataFrame], pd.Series], kind: str) -> DataFrame:
+    """key, answer: a function of whole Arrow batches handed in from outside (a model, a
+    client), the only step that isn't the engine's own. Rows are independent, so a lost
+    executor costs its own batches only."""
+    schema = f"`{key}` {todo.schema[key].dataType.simpleString()}, answer {kind}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "answer": answer(b)})
+
+    return todo.mapInPandas(run, schema)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import fdi, geometry
 from ..functions.paths import basename, clean_text, dirname, place
 from ..operators import splits, stats
-from ..operators.ranking import mixed, mixed_sql, running_total
+from ..operators.ranking import id_ranges, mixed, mixed_sql, running_total
 from ..runtime import read_table
+from ..sources.coco import resolved, usable_path
 from .base import ANNOTS, BOXED, DIAGNOSES, IMAGES, NAMED, SEED, annots, boxed, images, named_annots
 
 QUERIES: dict = {}
@@ -61,7 +62,10 @@ def annotations_per_image_describe(spark: SparkSession, sf: str) -> DataFrame:
 def bbox_area_stats(spark: SparkSession, sf: str) -> DataFrame:
     area = F.col("w") * F.col("h")
     part = area / (F.col("width").cast("double") * F.col("height"))
-    return boxed(spark, sf).agg(F.count("*").alias("n"), F.round(F.avg(area), 4).alias("mean_area"), F.round(F.median(area), 4).alias("median_area"), F.round(F.avg(part), 6).alias("mean_share"), F.round(F.median(part), 6).alias("median_share"))
+    b = boxed(spark, sf)
+    medians = stats.quantiles(b, {"area": area, "share": part}, [0.5]).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in ("area", "share")]).select(F.struct("*").alias("m")).scalar()
+    whole = b.agg(F.count("*").alias("n"), F.round(F.avg(area), 4).alias("mean_area"), F.round(F.avg(part), 6).alias("mean_share")).withColumn("m", medians)
+    return whole.select("n", "mean_area", F.round("m.area", 4).alias("median_area"), "mean_share", F.round("m.share", 6).alias("median_share"))
 
 
 @query(f"""WITH {BOXED}, v AS (SELECT w * h AS v FROM b), e AS (SELECT min(v) AS lo, max(v) AS hi FROM v)
@@ -70,6 +74,13 @@ def bbox_area_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return stats.histogram(boxed(spark, sf), F.col("w") * F.col("h"), 30)
 
 
+@query(f"""WITH {BOXED}, v AS (SELECT w * h / (CAST(width AS DOUBLE) * height) AS v FROM b), e AS (SELECT min(v) AS lo, max(v) AS hi FROM v)
+    SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) / ((hi - lo) / 40)), 39) END AS INTEGER) AS bin, count(*) AS n FROM v, e GROUP BY 1""")
+def bbox_share_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """The boxes' shares of their images in forty bins."""
+    return stats.histogram(boxed(spark, sf), F.col("w") * F.col("h") / (F.col("width").cast("double") * F.col("height")), 40)
+
+
 @query(f"""WITH {IMAGES} SELECT count(*) AS n, min(width) AS min_width, max(width) AS max_width, round(avg(width), 6) AS mean_width,
     min(height) AS min_height, max(height) AS max_height, round(avg(height), 6) AS mean_height FROM i""")
 def image_dims(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,13 +108,14 @@ def first_finding(spark: SparkSession, sf: str) -> DataFrame:
     return first.select("image_id", "id", F.col("q").alias("quadrant"), F.col("p").alias("tooth_position"), F.coalesce("diagnosis", F.lit("Caries")).alias("diagnosis"))
 
 
-@query(f"""WITH {IMAGES}, {ANNOTS}, k AS (SELECT id, row_number() OVER (ORDER BY id) AS new_id FROM i)
+@query(f"""WITH {IMAGES}, {ANNOTS}, k AS (SELECT id, row_number() OVER (ORDER BY coalesce(source_file, ''), id) AS new_id FROM i)
     SELECT a.id, k.new_id AS image_id FROM a JOIN k ON k.id = a.image_id""")
 def combined_union_rekey(spark: SparkSession, sf: str) -> DataFrame:
-    """All files' images under ids 1 .. N in the order of their old ids; annotations of
-    unknown images fall away."""
-    i = images(spark, sf).select("id")
-    keyed = running_total(i, [], ["id"], F.lit(1), "before", bucket=F.floor(F.col("id") / 1024)).select(F.col("id").alias("image_id"), (F.col("before") + 1).alias("new_id"))
+    """All files' images under ids 1 .. N by file and old id; annotations of unknown
+    images fall away. Ranges of ids, whose width follows the greatest id, are counted
+    first, so no task holds a whole file."""
+    i = images(spark, sf).select("id", F.coalesce("source_file", F.lit("")).alias("file"))
+    keyed = running_total(i, [], ["file", "id"], F.lit(1), "before", bucket=F.struct("file", id_ranges(i, "id").alias("r"))).select(F.col("id").alias("image_id"), (F.col("before") + 1).alias("new_id"))
     return annots(spark, sf).join(keyed, "image_id").select("id", F.col("new_id").alias("image_id"))
 
 
@@ -124,36 +136,69 @@ def candidate_file_scores(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "annotation_files").join(per_file, "source_file", "left").select("source_file", score.cast("int").alias("score"))
 
 
-@query(f"""WITH {IMAGES}, d AS (SELECT DISTINCT path, regexp_extract(path, '([^/]*)$', 1) AS base FROM local_files WHERE path IS NOT NULL), m AS (SELECT base, max(path) AS path FROM d GROUP BY base)
-    SELECT i.id, coalesce(e.path, m.path) AS resolved FROM i LEFT JOIN d e ON e.path = i.local_path LEFT JOIN m ON m.base = regexp_extract(i.local_path, '([^/]*)$', 1) AND m.base <> ''
-    WHERE coalesce(e.path, m.path) IS NOT NULL""")
-def path_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    """The file of each image: the very path if it exists, else the last one of its name."""
-    files = read_table(spark, sf, "local_files").where("path is not null").select("path").distinct()
-    by_name = files.groupBy(basename(F.col("path")).alias("base")).agg(F.max("path").alias("named")).where("base <> ''")
-    i = images(spark, sf).select("id", "local_path", F.regexp_extract("local_path", r"([^/]*)$", 1).alias("base"))
-    exact = i.join(files, F.col("local_path") == F.col("path"), "left").join(by_name, "base", "left")
-    return exact.select("id", F.coalesce("path", "named").alias("resolved")).where("resolved is not null")
+@query(f"""WITH {IMAGES}, {ANNOTS}, s AS (
+    SELECT f.source_file, max(a.c1 IS NOT NULL)::INT + max(a.c2 IS NOT NULL)::INT + max(a.c3 IS NOT NULL)::INT AS present
+    FROM annotation_files f LEFT JOIN i ON i.source_file = f.source_file LEFT JOIN a ON a.image_id = i.id GROUP BY f.source_file)
+    SELECT source_file, CAST(contains(lower(source_file), 'test')::INT + coalesce(present, 0) + 2 * regexp_matches(lower(source_file), 'diagnosis|disease')::INT AS INTEGER) AS score FROM s""")
+def named_split_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotation files scored as the test split, by the milder rule: one for the name."""
+    keys = [F.max(F.col(c).isNotNull().cast("int")).alias(f"has_{c}") for c in ("c1", "c2", "c3")]
+    per_image = annots(spark, sf).groupBy(F.col("image_id").alias("id")).agg(*keys)
+    per_file = images(spark, sf).join(per_image, "id").groupBy("source_file").agg(*[F.max(f"has_{c}").alias(f"has_{c}") for c in ("c1", "c2", "c3")])
+    present = sum((F.coalesce(f"has_{c}", F.lit(0)) for c in ("c1", "c2", "c3")), F.lit(0))
+    low = F.lower("source_file")
+    score = low.contains("test").cast("int") + present + F.when(low.rlike("diagnosis|disease"), 2).otherwise(0)
+    return read_table(spark, sf, "annotation_files").join(per_file, "source_file", "left").select("source_file", score.cast("int").alias("score"))
 
 
-@query(f"""WITH {IMAGES} SELECT id, regexp_extract(file_name, '([^/]*)$', 1) AS base FROM i WHERE file_name IS NOT NULL AND NOT contains(file_name, chr(92))""")
-def image_basenames_slashed(spark: SparkSession, sf: str) -> DataFrame:
-    """Check of basename against SQL, on names without back slashes only; image_basenames has all images."""
-    return images(spark, sf).where(F.col("file_name").isNotNull() & ~F.contains("file_name", F.lit("\\"))).select("id", basename(F.col("file_name")).alias("base"))
+@query("SELECT source_file, contains(lower(source_file), 'val') AS val, contains(lower(source_file), 'train') AS train FROM annotation_files")
+def split_of_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a file's name tells of a split."""
+    low = F.lower("source_file")
+    return read_table(spark, sf, "annotation_files").select("source_file", low.contains("val").alias("val"), low.contains("train").alias("train"))
 
 
-@query()
+_DIR = "regexp_extract(replace({}, chr(92), '/'), '^(.*?)/*[^/]*/*$', 1, 's')"
+_BASE = "regexp_extract(replace({}, chr(92), '/'), '([^/]*)/*$', 1, 's')"
+
+
+@query(f"""WITH {IMAGES}, d AS (SELECT DISTINCT CASE WHEN size_bytes % 3 = 1 THEN {_DIR.format('path')} || '/xrays/' || {_BASE.format('path')} ELSE path END AS path FROM local_files WHERE path IS NOT NULL),
+    m AS (SELECT {_BASE.format('path')} AS base, max(path) AS path FROM d GROUP BY base),
+    w AS (SELECT id, {_BASE.format('local_path')} AS base, CASE WHEN id % 4 = 0 THEN 'elsewhere' ELSE {_DIR.format('local_path')} END AS dir FROM i WHERE local_path IS NOT NULL)
+    SELECT w.id, coalesce(d.path, x.path, m.path) AS resolved FROM w LEFT JOIN d ON d.path = w.dir || '/' || w.base LEFT JOIN d x ON x.path = w.dir || '/xrays/' || w.base LEFT JOIN m ON m.base = w.base WHERE coalesce(d.path, x.path, m.path) IS NOT NULL""")
+def path_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """The file of each image: beside its source file, in the folder for films there, else
+    the last file of its name. A third of the files are moved to such a folder, and a
+    quarter of the images looked for in the wrong one."""
+    path, old = F.col("path"), F.col("local_path")
+    moved = F.when(F.col("size_bytes") % 3 == 1, F.concat(dirname(path), F.lit("/xrays/"), basename(path))).otherwise(path)
+    files = read_table(spark, sf, "local_files").where("path is not null").select(moved.alias("path"))
+    i = images(spark, sf).where("local_path is not null").select("id", basename(old).alias("file_name"), F.concat(F.when(F.col("id") % 4 == 0, "elsewhere").otherwise(dirname(old)), F.lit("/x.json")).alias("source_file"))
+    return resolved(i, files).select("id", F.col("local_path").alias("resolved")).where("resolved is not null")
+
+
+@query(f"""WITH {IMAGES}, s AS (SELECT path, min(size_bytes) AS size FROM local_files WHERE deleted_at IS NULL AND path IS NOT NULL GROUP BY path)
+    SELECT id, coalesce('slices/' || lpad(CAST(id % 12 AS VARCHAR), 2, '0') || '/' || regexp_extract(replace(s.path, chr(92), '/'), '([^/]*)/*$', 1, 's'), i.local_path) AS local_path FROM i LEFT JOIN s ON s.path = i.local_path""")
+def path_override(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths replaced by those of a fetched slice where it has the file, else kept."""
+    there = read_table(spark, sf, "local_files").where("deleted_at is null and path is not null").select(F.col("path").alias("local_path"), F.lit(True).alias("hit")).distinct()
+    fetched = F.concat(F.lit("slices/"), F.lpad((F.col("id") % 12).cast("string"), 2, "0"), F.lit("/"), basename(F.col("local_path")))
+    return images(spark, sf).join(there, "local_path", "left").select("id", F.when(F.col("hit"), fetched).otherwise(F.col("local_path")).alias("local_path"))
+
+
+@query(f"""WITH {IMAGES} SELECT id, regexp_extract(replace(file_name, chr(92), '/'), '([^/]*)/*$', 1, 's') AS base FROM i WHERE file_name IS NOT NULL""")
 def image_basenames(spark: SparkSession, sf: str) -> DataFrame:
-    """The last segment of each image's file name, back slashes turned (no SQL twin: held
-    against a brute-force version in the tests)."""
+    """The last segment of each image's file name, back slashes turned."""
     return images(spark, sf).where("file_name is not null").select("id", basename(F.col("file_name")).alias("base"))
 
 
-_NAMES_Q = " ".join(f"WHEN {k} THEN '{v}'" for k, v in fdi.QUADRANTS.items())
-_NAMES_P = " ".join(f"WHEN {k} THEN '{v}'" for k, v in fdi.POSITIONS.items())
+# The names as published; the SQL doesn't take them from the code under test.
+_NAMES_Q = "WHEN 1 THEN 'Maxillary Right (Upper Right)' WHEN 2 THEN 'Maxillary Left (Upper Left)' WHEN 3 THEN 'Mandibular Left (Lower Left)' WHEN 4 THEN 'Mandibular Right (Lower Right)' ELSE 'Quadrant ' || q"
+_NAMES_P = "WHEN 1 THEN 'Central Incisor' WHEN 2 THEN 'Lateral Incisor' WHEN 3 THEN 'Canine' WHEN 4 THEN 'First Premolar' WHEN 5 THEN 'Second Premolar' WHEN 6 THEN 'First Molar' WHEN 7 THEN 'Second Molar' WHEN 8 THEN 'Third Molar (Wisdom Tooth)' ELSE 'Tooth ' || p"
+_NAME = f"(CASE q {_NAMES_Q} END) || ' ' || (CASE p {_NAMES_P} END) || ' (FDI #' || CASE WHEN q BETWEEN 1 AND 4 AND p BETWEEN 1 AND 8 THEN q || '' || p ELSE '??' END || ')'"
 
 
-@query(f"""WITH {ANNOTS} SELECT id, q, p, CAST(q * 10 + p AS INTEGER) AS code, q || '' || p AS label, (CASE q {_NAMES_Q} END) || ' ' || (CASE p {_NAMES_P} END) AS name,
+@query(f"""WITH {ANNOTS} SELECT id, q, p, CAST(q * 10 + p AS INTEGER) AS code, q || '' || p AS label, {_NAME} AS name,
     CAST((q - 1) * 8 + p AS INTEGER) AS detector_class, CAST((q - 1) * 8 + p - 1 AS INTEGER) AS label_class, CASE q WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 4 ELSE 3 END AS flipped, (q * 10 + p) // 10 AS back_q, (q * 10 + p) % 10 AS back_p
     FROM a WHERE q BETWEEN 1 AND 4 AND p BETWEEN 1 AND 8""")
 def fdi_codes(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,6 +207,25 @@ def fdi_codes(spark: SparkSession, sf: str) -> DataFrame:
     return annots(spark, sf).where(fdi.valid(q, p)).select("id", "q", "p", fdi.code(q, p).alias("code"), fdi.label(q, p).alias("label"), fdi.name(q, p).alias("name"), fdi.detector_class(q, p).alias("detector_class"), fdi.label_class(q, p).alias("label_class"), fdi.flipped(q).alias("flipped"), back_q.alias("back_q"), back_p.alias("back_p"))
 
 
+@query(f"WITH {ANNOTS} SELECT DISTINCT q, p, {_NAME} AS name FROM a")
+def tooth_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The name of every tooth told, of places that there aren't too."""
+    return annots(spark, sf).select("q", "p").distinct().select("q", "p", fdi.name(F.col("q"), F.col("p")).alias("name"))
+
+
+@query(f"""WITH {ANNOTS}, t AS (SELECT id, CASE id % 4 WHEN 0 THEN q || '' || p WHEN 1 THEN CAST(q * 10 + p AS VARCHAR) || '0' WHEN 2 THEN q || 'x' ELSE '' END AS told FROM a),
+    n AS (SELECT id, told, TRY_CAST(told[1] AS INTEGER) AS q, TRY_CAST(told[2] AS INTEGER) AS p FROM t),
+    w AS (SELECT *, CASE WHEN length(told) <> 2 THEN 'not two digits: ' || told WHEN q IS NULL OR p IS NULL THEN 'not a number: ' || told WHEN NOT (q BETWEEN 1 AND 4 AND p BETWEEN 1 AND 8) THEN 'no such tooth: ' || told END AS why FROM n)
+    SELECT id, CASE WHEN why IS NULL THEN q END AS quadrant, CASE WHEN why IS NULL THEN p END AS position, why FROM w""")
+def tooth_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Tooth numbers written as text, in good and bad ways by id, read back or refused with the reason."""
+    code = F.concat(F.col("q").cast("string"), F.col("p").cast("string"))
+    k = F.col("id") % 4
+    told = F.when(k == 0, code).when(k == 1, F.concat((F.col("q") * 10 + F.col("p")).cast("string"), F.lit("0"))).when(k == 2, F.concat(F.col("q").cast("string"), F.lit("x"))).otherwise("")
+    q, p, why = fdi.read_number(F.col("told"))
+    return annots(spark, sf).select("id", told.alias("told")).select("id", q.alias("quadrant"), p.alias("position"), why.alias("why"))
+
+
 def _box() -> geometry.Box:
     return geometry.Box(*[F.col(c) for c in "xywh"])
 
@@ -204,11 +268,18 @@ def zoom_window(spark: SparkSession, sf: str) -> DataFrame:
     return boxed(spark, sf).select("id", "image_id", *[F.round(c, 6).alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), z)])
 
 
-@query(f"""WITH {BOXED}, s AS (SELECT *, least(w * 1.5, width) AS nw, least(h * 1.5, height) AS nh FROM b)
-    SELECT id, image_id, round(greatest(0.0, least(x + w / 2 + 0.25 * w - nw / 2, width - nw)), 1) AS x, round(greatest(0.0, least(y + h / 2 - 0.5 * h - nh / 2, height - nh)), 1) AS y, round(nw, 1) AS w, round(nh, 1) AS h FROM s""")
+@query(f"""WITH {ANNOTS}, {IMAGES}, b AS (SELECT a.id, a.image_id, a.bbox, i.width, i.height, a.bbox[1] AS x, a.bbox[2] AS y, a.bbox[3] AS w, a.bbox[4] AS h, ((a.id % 7) - 3) * 0.25 AS dx, ((a.id % 5) - 2) * 0.5 AS dy, greatest(0.1, (a.id % 4) * 0.75) AS s
+        FROM a JOIN i ON i.id = a.image_id WHERE i.width IS NOT NULL AND i.height IS NOT NULL),
+    e AS (SELECT *, CASE WHEN bbox IS NULL OR len(bbox) <> 4 OR x IS NULL OR y IS NULL OR w IS NULL OR h IS NULL THEN 'the box must be x, y, w, h' WHEN w <= 0 OR h <= 0 THEN 'width and height must be positive' END AS error, least(w * s, width) AS nw, least(h * s, height) AS nh FROM b)
+    SELECT id, image_id, error, CASE WHEN error IS NULL THEN round(greatest(0.0, least(x + w / 2 + dx * w - nw / 2, width - nw)), 1) END AS x, CASE WHEN error IS NULL THEN round(greatest(0.0, least(y + h / 2 + dy * h - nh / 2, height - nh)), 1) END AS y,
+        CASE WHEN error IS NULL THEN round(nw, 1) END AS w, CASE WHEN error IS NULL THEN round(nh, 1) END AS h FROM e""")
 def nudge(spark: SparkSession, sf: str) -> DataFrame:
-    b = geometry.nudged(_box(), F.col("width"), F.col("height"), F.lit(0.25), F.lit(-0.5), F.lit(1.5))
-    return boxed(spark, sf).select("id", "image_id", *[c.alias(n) for n, c in zip("xywh", b)])
+    """Boxes shifted and rescaled by amounts that vary with the id; bad boxes give the reason."""
+    i = images(spark, sf).where("width is not null and height is not null").select(F.col("id").alias("image_id"), "width", "height")
+    a = annots(spark, sf).join(i, "image_id")
+    n, k = F.col("id"), F.col("bbox")
+    b = geometry.nudged(geometry.of_array(k), F.col("width"), F.col("height"), ((n % 7) - 3) * 0.25, ((n % 5) - 2) * 0.5, (n % 4) * 0.75)
+    return a.select("id", "image_id", geometry.box_error(k).alias("error"), *[c.alias(m) for m, c in zip("xywh", b)])
 
 
 @query(f"""WITH {BOXED}, s AS (SELECT *, CAST(trunc(x) AS INTEGER) AS xi, CAST(trunc(y) AS INTEGER) AS yi, CAST(trunc(w) AS INTEGER) AS wi, CAST(trunc(h) AS INTEGER) AS hi, height // 2 AS mid FROM b),
@@ -225,16 +296,39 @@ def hflip(spark: SparkSession, sf: str) -> DataFrame:
     return boxed(spark, sf).select("id", "image_id", *[c.alias(n) for n, c in zip("xywh", b)], fdi.flipped(F.col("q")).alias("quadrant"))
 
 
-@query(f"""WITH {BOXED}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id, q, p ORDER BY {mixed_sql('id', 7)} DESC, id, x, y, w, h) AS rn FROM b)
-    SELECT image_id, q, p, round(greatest(x - w * 0.2 / 2, 0.0), 6) AS x, round(greatest(y - h * 0.2 / 2, 0.0), 6) AS y, round(least(w * (1 + 0.2), width - greatest(x - w * 0.2 / 2, 0.0)), 6) AS w,
-           round(least(h * (1 + 0.2), height - greatest(y - h * 0.2 / 2, 0.0)), 6) AS h FROM r WHERE rn = 1""")
+# Rounded half up as the number is written, not as it is stored.
+_TENTH = "round(CAST(CAST({} AS VARCHAR) AS DECIMAL(38, 17)), 1)::DOUBLE"
+_DETECTED = f"""d AS (SELECT *, ({mixed_sql('id', 7)} % 1000) / 1000.0 AS score FROM b),
+    r AS (SELECT *, row_number() OVER (PARTITION BY image_id, q, p ORDER BY score DESC, id, x, y, w, h) AS rn FROM d WHERE score >= 0.25),
+    c AS (SELECT *, x + w / 2 AS cx, y + h / 2 AS cy FROM r WHERE rn = 1),
+    o AS (SELECT *, greatest(cx - w / 2 - w * 0.2 / 2, 0.0) AS px, greatest(cy - h / 2 - h * 0.2 / 2, 0.0) AS py FROM c)"""
+
+
+@query(f"""WITH {BOXED}, {_DETECTED} SELECT image_id, q, p, round(score, 3) AS confidence, {_TENTH.format('px')} AS x, {_TENTH.format('py')} AS y, {_TENTH.format('least(w * (1 + 0.2), width - px)')} AS w, {_TENTH.format('least(h * (1 + 0.2), height - py)')} AS h FROM o""")
 def best_detection(spark: SparkSession, sf: str) -> DataFrame:
-    """Per image and tooth the detection of the highest score (a hash stands in), padded."""
-    w = W.partitionBy("image_id", "q", "p").orderBy(mixed(F.col("id"), 7).desc(), "id", *"xywh")
-    best = boxed(spark, sf).withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    pad = lambda v, s: F.greatest(F.col(v) - F.col(s) * 0.2 / 2, F.lit(0.0))
-    x, y = pad("x", "w"), pad("y", "h")
-    return best.select("image_id", "q", "p", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(F.least(F.col("w") * (1 + 0.2), F.col("width") - x), 6).alias("w"), F.round(F.least(F.col("h") * (1 + 0.2), F.col("height") - y), 6).alias("h"))
+    """Per image and tooth the detection of the highest score, if it reaches the
+    threshold (a hash stands in for the detector), from its centre to a padded box."""
+    d = boxed(spark, sf).withColumn("score", (mixed(F.col("id"), 7) % 1000) / 1000.0).where(F.col("score") >= 0.25)
+    w = W.partitionBy("image_id", "q", "p").orderBy(F.col("score").desc(), "id", *"xywh")
+    best = d.withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    centre = geometry.Box(F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2, F.col("w"), F.col("h"))
+    out = geometry.from_centre(centre, F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height"))
+    return best.select("image_id", "q", "p", F.round("score", 3).alias("confidence"), *[c.alias(n) for n, c in zip("xywh", out)])
+
+
+@query(f"""WITH {BOXED} SELECT count(*) AS n, count(*) FILTER (WHERE s >= 0.5) AS kept FROM (SELECT ({mixed_sql('id', 7)} % 1000) / 1000.0 AS s FROM b)""")
+def detections_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Detections before and after the score threshold."""
+    d = boxed(spark, sf).select(((mixed(F.col("id"), 7) % 1000) / 1000.0).alias("s"))
+    return d.agg(F.count("*").alias("n"), F.count_if(F.col("s") >= 0.5).alias("kept"))
+
+
+@query(f"""WITH {BOXED} SELECT id, round(x + w, 6) AS x2, round(y + h, 6) AS y2, round((x + w) - x, 6) AS w, round((y + h) - y, 6) AS h FROM b""")
+def corner_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes by their corners and back."""
+    c = geometry.corners(_box())
+    back = geometry.from_corners(c)
+    return boxed(spark, sf).select("id", F.round(c.w, 6).alias("x2"), F.round(c.h, 6).alias("y2"), F.round(back.w, 6).alias("w"), F.round(back.h, 6).alias("h"))
 
 
 @query(f"""WITH {BOXED}, s AS (SELECT id, image_id, greatest(x - w * 0.75, 0.0) AS x1, greatest(y - h * 0.75, 0.0) AS y1, least(x + w * 1.75, width) AS x2, least(y + h * 1.75, height) AS y2 FROM b)
@@ -276,15 +370,56 @@ def fold_summary(spark: SparkSession, sf: str) -> DataFrame:
     folds = splits.parts(images(spark, sf), "id", 5, 99)
     counts = annots(spark, sf).where("image_id is not null").groupBy(F.col("image_id").alias("id")).agg(F.count("*").alias("k"))
     per = folds.join(counts, "id", "left").groupBy(F.col("part").alias("fold")).agg(F.count("*").alias("val_images"), F.coalesce(F.sum("k"), F.lit(0)).alias("val_annotations"))
-    return per.join(folds.agg(F.count("*").alias("whole"))).select("fold", "val_images", "val_annotations", (F.col("whole") - F.col("val_images")).alias("train_images"))
+    whole = F.sum("val_images").over(W.partitionBy())  # five rows
+    return per.select("fold", "val_images", "val_annotations", (whole - F.col("val_images")).alias("train_images"))
 
 
-@query(f"""WITH {IMAGES}, {ANNOTS} SELECT i.source_file, count(DISTINCT i.id) AS images, count(a.id) AS annotations FROM i LEFT JOIN a ON a.image_id = i.id WHERE i.source_file IS NOT NULL GROUP BY i.source_file""")
+@query(f"""WITH {IMAGES}, {ANNOTS} SELECT i.source_file, count(DISTINCT i.id) AS images, count(a.id) AS annotations, (SELECT string_agg(name, ', ' ORDER BY id) FROM (SELECT id, max(name) AS name FROM categories GROUP BY id ORDER BY id LIMIT 8)) AS names
+    FROM i LEFT JOIN a ON a.image_id = i.id WHERE i.source_file IS NOT NULL GROUP BY i.source_file""")
 def file_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Images and annotations per source file, annotations counted per image first."""
+    """Images and annotations per source file, annotations counted per image first, and
+    the first eight category names."""
     per_image = annots(spark, sf).where("image_id is not null").groupBy(F.col("image_id").alias("id")).agg(F.count("*").alias("k"))
     i = images(spark, sf).where("source_file is not null").join(per_image, "id", "left")
-    return i.groupBy("source_file").agg(F.count("*").alias("images"), F.coalesce(F.sum("k"), F.lit(0)).alias("annotations"))
+    first = read_table(spark, sf, "categories").groupBy("id").agg(F.max("name").alias("name")).orderBy("id").limit(8)
+    names = first.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "name"))), lambda x: x["name"]), ", ").alias("names")).scalar()
+    return i.groupBy("source_file").agg(F.count("*").alias("images"), F.coalesce(F.sum("k"), F.lit(0)).alias("annotations")).withColumn("names", names)
+
+
+@query(f"""WITH {NAMED}, o AS (SELECT image_id, id, q, p, coalesce(diagnosis, 'Caries') AS d, row_number() OVER (PARTITION BY image_id ORDER BY id, q, p, coalesce(diagnosis, 'Caries'), c3 NULLS FIRST, bbox[1] NULLS FIRST, bbox[2] NULLS FIRST) - 1 AS nr FROM n WHERE image_id IS NOT NULL)
+    SELECT image_id, nr // 10000 AS part, string_agg(id || ' Q' || q || 'T' || p || ':' || d, '; ' ORDER BY nr) AS findings FROM o GROUP BY 1, 2""")
+def findings_by_image(spark: SparkSession, sf: str) -> DataFrame:
+    """All findings of each image as lists, in the order of their ids, written out. A list
+    holds at most 10,000 findings, so an image with more has several parts."""
+    n = named_annots(spark, sf).where("image_id is not null").withColumn("d", F.coalesce("diagnosis", F.lit("Caries")))
+    n = n.withColumn("x", F.get("bbox", 0)).withColumn("y", F.get("bbox", 1))
+    lists = stats.bounded_lists(n, ["image_id"], ["id", "q", "p", "d", "c3", "x", "y"], F.struct("id", "q", "p", "d"), "findings", 10_000)
+    told = F.transform("findings", lambda f: F.concat(f["id"].cast("string"), F.lit(" Q"), f["q"].cast("string"), F.lit("T"), f["p"].cast("string"), F.lit(":"), f["d"]))
+    return lists.select("image_id", "part", F.array_join(told, "; ").alias("findings"))
+
+
+@query(f"""WITH {NAMED} SELECT image_id, id, CASE WHEN q BETWEEN 1 AND 4 AND p BETWEEN 1 AND 8 THEN q || '' || p END AS label, diagnosis, bbox FROM n WHERE image_id IN (SELECT image_id FROM verified_traces)""")
+def annotated_teeth(spark: SparkSession, sf: str) -> DataFrame:
+    """Every annotated tooth of the images that have a verified trace: the stand-in for a detector."""
+    asked = read_table(spark, sf, "verified_traces").select("image_id")
+    return named_annots(spark, sf).join(asked, "image_id", "left_semi").select("image_id", "id", fdi.label(F.col("q"), F.col("p")).alias("label"), "diagnosis", "bbox")
+
+
+@query(f"WITH {IMAGES} SELECT id FROM i WHERE local_path IS NOT NULL AND local_path <> 'None' ORDER BY id LIMIT 100")
+def first_images(spark: SparkSession, sf: str) -> DataFrame:
+    """The first hundred images with a path: a top-k."""
+    return images(spark, sf).where(usable_path(F.col("local_path"))).select("id").orderBy("id").limit(100)
+
+
+@query(f"""WITH {IMAGES}, {ANNOTS}, m AS (SELECT DISTINCT i.* FROM i JOIN annotation_files f ON f.source_file = i.source_file WHERE f.split = 'test'), u AS (SELECT id, 'train' AS part FROM i WHERE id NOT IN (SELECT id FROM m) UNION ALL SELECT id, 'test' FROM m)
+    SELECT part, count(DISTINCT u.id) AS images, count(a.id) AS annotations FROM u LEFT JOIN a ON a.image_id = u.id GROUP BY part""")
+def train_with_test(spark: SparkSession, sf: str) -> DataFrame:
+    """The test files' images put behind the others, and both counted with their annotations."""
+    i = images(spark, sf)
+    test = i.join(read_table(spark, sf, "annotation_files").where("split = 'test'").select("source_file").distinct(), "source_file", "left_semi").select("id")
+    both = i.select("id").join(test, "id", "left_anti").withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    per = annots(spark, sf).where("image_id is not null").groupBy(F.col("image_id").alias("id")).agg(F.count("*").alias("k"))
+    return both.join(per, "id", "left").groupBy("part").agg(F.count("*").alias("images"), F.coalesce(F.sum("k"), F.lit(0)).alias("annotations"))
 
 
 @query(f"""WITH {IMAGES}, {ANNOTS} SELECT i.id, count(a.id) AS annotations, coalesce(min(a.q), 0) AS least_quadrant FROM i LEFT JOIN a ON a.image_id = i.id GROUP BY i.id""")
@@ -294,18 +429,10 @@ def images_with_annotation_counts(spark: SparkSession, sf: str) -> DataFrame:
     return images(spark, sf).join(per, "id", "left").select("id", F.coalesce("k", F.lit(0)).alias("annotations"), F.coalesce("m", F.lit(0)).alias("least_quadrant"))
 
 
-@query(f"""WITH {IMAGES} SELECT id, regexp_extract(source_file, '^(.*)/[^/]*$', 1) AS folder FROM i WHERE source_file IS NOT NULL AND regexp_matches(source_file, '^[a-z_/ 0-9.]+$') AND NOT contains(source_file, '//') AND NOT ends_with(source_file, ' ')""")
-def source_folders_plain(spark: SparkSession, sf: str) -> DataFrame:
-    """Check of dirname against SQL, on the plain spellings only; source_folders has all images."""
-    c = F.col("source_file")
-    return images(spark, sf).where(c.rlike(r"^[a-z_/ 0-9.]+$") & ~c.contains("//") & ~c.endswith(" ")).select("id", dirname(c).alias("folder"))
-
-
-@query()
+@query(f"""WITH {IMAGES} SELECT id, regexp_extract(replace(source_file, chr(92), '/'), '^(.*?)/*[^/]*/*$', 1, 's') AS folder FROM i WHERE source_file IS NOT NULL""")
 def source_folders(spark: SparkSession, sf: str) -> DataFrame:
-    """The folder of each image's source file, however it is spelled; back slashes are turned,
-    doubled slashes inside stay as in the published dirname (no SQL twin: held
-    against a brute-force version in the tests)."""
+    """The folder of each image's source file, however it is spelled; back slashes are
+    turned, doubled slashes inside stay."""
     return images(spark, sf).where("source_file is not null").select("id", dirname(F.col("source_file")).alias("folder"))
 
 

@@ -35,12 +35,13 @@ IMAGES = """i AS (SELECT id, s.* FROM (
 
 
 def named_annots(spark: SparkSession, sf: str) -> DataFrame:
-    """annots plus diagnosis: the category's name, null for unknown ids."""
-    names = read_table(spark, sf, "categories").select(F.col("id").alias("c3"), F.col("name").alias("diagnosis"))
+    """annots plus diagnosis: the category's name, null for unknown ids. Of several names
+    of an id the last in the alphabet counts, so that no annotation is doubled."""
+    names = read_table(spark, sf, "categories").groupBy(F.col("id").alias("c3")).agg(F.max("name").alias("diagnosis"))
     return annots(spark, sf).join(names, "c3", "left")
 
 
-NAMED = ANNOTS + ", n AS (SELECT a.*, c.name AS diagnosis FROM a LEFT JOIN categories c ON c.id = a.c3)"
+NAMED = ANNOTS + ", n AS (SELECT a.*, c.name AS diagnosis FROM a LEFT JOIN (SELECT id, max(name) AS name FROM categories GROUP BY id) c ON c.id = a.c3)"
 DIAGNOSES = ["Impacted Tooth", "Caries", "Periapical Lesion", "Deep Caries"]
 
 

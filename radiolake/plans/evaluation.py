@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import metrics, scoring, splits
@@ -36,10 +37,10 @@ def pair_accuracy_single(spark: SparkSession, sf: str) -> DataFrame:
 def component_scores() -> dict[str, Column]:
     calls = scoring.calls(F.col("turns"))
     return {
+        "accuracy": scoring.accuracy_score(F.col("preds"), F.col("gt")),
         "format": scoring.format_score(F.col("format_ok"), F.col("preds")),
         "validity": scoring.validity_score(calls),
         "efficiency": scoring.efficiency_score(calls),
-        "accuracy": scoring.accuracy_score(F.col("preds"), F.col("gt")),
     }
 
 
@@ -89,35 +90,35 @@ def reward_accuracy_multi(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).select("record_id", F.round(component_scores()["accuracy"], 6).alias("accuracy_score"))
 
 
-_W = scoring.WEIGHTS
+# The weights as published; the SQL doesn't take them from the code under test.
+_TOTAL = "1.0 * ac + 0.2 * f + 0.2 * v + 0.1 * ef"
+_GRID_SQL = "(VALUES (1.0, 0.2, 0.2, 0.1), (1.0, 0.0, 0.0, 0.0), (1.0, 0.1, 0.4, 0.1), (1.0, 0.4, 0.1, 0.1), (0.7, 0.2, 0.2, 0.1)) w(a, f, v, e)"
 
 
 @query(f"""WITH RECURSIVE {SCORED}, {_PAIRS}, {_CALLS.replace('c AS (', 'cc AS (', 1).replace('FROM c WHERE', 'FROM cc WHERE')},
     q AS (SELECT t.record_id, t.image_id, CASE WHEN format_ok AND coalesce(len(preds), 0) > 0 THEN 1.0 ELSE 0.0 END AS f, CASE WHEN e.calls IS NULL THEN 1.0 ELSE good / e.calls END AS v, {_EFF} AS ef, {_ACC} AS ac
         FROM t JOIN c USING (record_id) LEFT JOIN z USING (record_id) LEFT JOIN e USING (record_id))
-    SELECT record_id, round({_W['format']} * f + {_W['validity']} * v + {_W['efficiency']} * ef + {_W['accuracy']} * ac, 5)::DOUBLE AS reward FROM q""")
+    SELECT record_id, round({_TOTAL}, 5)::DOUBLE AS reward FROM q""")
 def composite_reward(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).select("record_id", F.round(scoring.composite(component_scores()), 5).alias("reward"))
 
 
-GRID = [(0.1, 0.2, 0.2, 0.5), (0.25, 0.25, 0.25, 0.25), (0.1, 0.1, 0.1, 0.7), (0.0, 0.0, 0.5, 0.5)]
-
-
 def _rewards(spark: SparkSession, sf: str) -> DataFrame:
     s = component_scores()
     return scored(spark, sf).select("record_id", "image_id", *[s[n].alias(n) for n in s])
 
 
-@query(SQL["composite_reward"].split("SELECT record_id, round(")[0] + "SELECT w.a AS w_format, w.b AS w_validity, w.c AS w_efficiency, w.d AS w_accuracy, count(*) AS n, round(avg(w.a * f + w.b * v + w.c * ef + w.d * ac), 5)::DOUBLE AS mean_reward FROM q, (VALUES " + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for a, b, c, d in GRID) + ") w(a, b, c, d) GROUP BY ALL")
+@query(SQL["composite_reward"].split("SELECT record_id, round(")[0] + f"""SELECT w.a::DOUBLE AS w_accuracy, w.f::DOUBLE AS w_format, w.v::DOUBLE AS w_validity, w.e::DOUBLE AS w_efficiency, count(*) AS n,
+    round(avg(w.a::DOUBLE * q.ac + w.f::DOUBLE * q.f + w.v::DOUBLE * q.v + w.e::DOUBLE * q.ef), 5) AS mean_reward FROM q, {_GRID_SQL} GROUP BY ALL""")
 def weight_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Mean reward by weight vector: components once, then a handful of sums a row."""
-    sums = F.array(*[F.struct(*[F.lit(w).alias(f"w_{n}") for n, w in zip(scoring.WEIGHTS, ws)], scoring.composite({n: F.col(n) for n in scoring.WEIGHTS}, dict(zip(scoring.WEIGHTS, ws))).alias("r")) for ws in GRID])
+    sums = F.array(*[F.struct(*[F.lit(w).alias(f"w_{n}") for n, w in zip(scoring.WEIGHTS, ws)], scoring.composite({n: F.col(n) for n in scoring.WEIGHTS}, dict(zip(scoring.WEIGHTS, ws))).alias("r")) for ws in scoring.GRID])
     each = _rewards(spark, sf).select(F.explode(sums).alias("x")).select("x.*")
     return each.groupBy(*[f"w_{n}" for n in scoring.WEIGHTS]).agg(F.count("*").alias("n"), F.round(F.avg("r"), 5).alias("mean_reward"))
 
 
 @query(SQL["composite_reward"].split("SELECT record_id, round(")[0] + f"""SELECT record_id, round(((r - avg(r) OVER (PARTITION BY image_id)) / (stddev_pop(r) OVER (PARTITION BY image_id) + 1e-4)), 3)::DOUBLE + 0.0 AS advantage
-    FROM (SELECT record_id, image_id, round({_W['format']} * f + {_W['validity']} * v + {_W['efficiency']} * ef + {_W['accuracy']} * ac, 5)::DOUBLE AS r FROM q)""")
+    FROM (SELECT record_id, image_id, round({_TOTAL}, 5)::DOUBLE AS r FROM q)""")
 def group_advantage(spark: SparkSession, sf: str) -> DataFrame:
     r = scored(spark, sf).select("record_id", "image_id", F.round(scoring.composite(component_scores()), 5).alias("reward"))
     return metrics.with_advantage(r, "reward", "image_id").select("record_id", (F.round("advantage", 3) + F.lit(0.0)).alias("advantage"))
@@ -140,9 +141,19 @@ def detector_prf(spark: SparkSession, sf: str) -> DataFrame:
     return total.select("tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-@query(f"""WITH {SCORED} SELECT record_id, round(CASE WHEN tool_calls = 0 THEN -0.2 WHEN tool_calls <= 4 THEN tool_calls * 0.1 ELSE 0.4 - (tool_calls - 4) * 0.5 END, 6)::DOUBLE AS call_score FROM t""")
+@query(f"""WITH {SCORED} SELECT record_id, round(CASE WHEN tool_calls = 0 THEN -0.2 WHEN tool_calls <= 4 THEN tool_calls * 0.1 ELSE 0.4 - (tool_calls - 4) * 0.5 END, 6)::DOUBLE AS call_score,
+    round(-0.1 * greatest(tool_calls - 4, 0), 6)::DOUBLE + 0.0 AS overrun FROM t""")
 def legacy_rewards(spark: SparkSession, sf: str) -> DataFrame:
-    return scored(spark, sf).select("record_id", F.round(scoring.call_count_score(F.col("tool_calls")), 6).alias("call_score"))
+    n = F.col("tool_calls")
+    return scored(spark, sf).select("record_id", F.round(scoring.call_count_score(n), 6).alias("call_score"), (F.round(scoring.overrun_penalty(n), 6) + F.lit(0.0)).alias("overrun"))
+
+
+@query(f"""WITH {SCORED}, {_CALLS} SELECT record_id, n, tool, CASE WHEN tool IN ('locate_tooth', 'zoom_crop', 'nudge_crop', 'window_level', 'denoise', 'enhance_contrast', 'contralateral_compare', 'fdi_label') THEN 0.2 ELSE -0.5 END::DOUBLE AS score FROM k""")
+def tool_name_rewards(spark: SparkSession, sf: str) -> DataFrame:
+    """Every call by its tool: known or not."""
+    calls = scored(spark, sf).select("record_id", F.posexplode(scoring.calls(F.col("turns"))).alias("i", "c"))
+    tool = F.col("c.tool_name")
+    return calls.select("record_id", (F.col("i") + 1).cast("bigint").alias("n"), tool.alias("tool"), scoring.tool_name_score(tool, scoring.TOOLS).alias("score"))
 
 
 _Q = "coalesce(pr.quadrant = tr.quadrant, false)"
@@ -190,21 +201,38 @@ def ece(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.calibration_error(first_pairs(spark, sf), F.col("pr.confidence"), ok)
 
 
-@query(f"""WITH {IMAGES}, {NAMED}, r AS ({splits.ranked_sql('i', 'id', SEED)}), h AS (SELECT id FROM r WHERE rank < floor(n * 0.1)), tr AS (SELECT * FROM n WHERE image_id NOT IN (SELECT id FROM h) OR image_id IS NULL),
+_HELD = f"""{IMAGES}, {NAMED}, r AS ({splits.ranked_sql('i', 'id', SEED)}), h AS (SELECT id FROM r WHERE rank < floor(n * 0.1)),
+    tr AS (SELECT * FROM n WHERE image_id NOT IN (SELECT id FROM h) OR image_id IS NULL),
     mq AS (SELECT q FROM tr GROUP BY q ORDER BY count(*) DESC, q LIMIT 1), mp AS (SELECT p FROM tr GROUP BY p ORDER BY count(*) DESC, p LIMIT 1), md AS (SELECT diagnosis AS d FROM tr WHERE diagnosis IS NOT NULL GROUP BY d ORDER BY count(*) DESC, d LIMIT 1),
-    t AS (SELECT * FROM n WHERE image_id IN (SELECT id FROM h))
-    SELECT mq.q AS quadrant, mp.p AS position, md.d AS diagnosis, count(*) AS n, round(avg((t.q = mq.q)::INT), 6) AS quadrant_rate, round(avg((t.q = mq.q AND t.p = mp.p)::INT), 6) AS fdi_rate,
-        round(avg((coalesce(t.q = mq.q AND t.p = mp.p AND t.diagnosis = md.d, false))::INT), 6) AS exact_rate FROM t, mq, mp, md GROUP BY 1, 2, 3""")
+    t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY id, c1 NULLS FIRST, c2 NULLS FIRST, c3 NULLS FIRST) AS rn FROM n WHERE image_id IN (SELECT id FROM h)) WHERE rn = 1),
+    x AS (SELECT t.q = mq.q AS sq, t.p = mp.p AS sp, lower(coalesce(t.diagnosis, 'Caries')) AS y, lower(md.d) AS z, mq.q AS quadrant, mp.p AS position, md.d AS diagnosis FROM t, mq, mp, md)"""
+
+
+@query(f"""WITH {_HELD}, k AS (SELECT y, count(*) AS c, avg((y = z)::INT) AS recall FROM x GROUP BY y), s AS (SELECT count(*) AS n, count(*) FILTER (WHERE y = z) AS tp, any_value(z) AS z FROM x),
+    labels AS (SELECT y AS l FROM x UNION SELECT z FROM x)
+    SELECT any_value(quadrant) AS quadrant, any_value(position) AS position, any_value(diagnosis) AS diagnosis, count(*) AS n, round(avg(sq::INT), 6) AS quadrant_rate, round(avg((sq AND sp)::INT), 6) AS fdi_rate, round(avg((sq AND sp AND y = z)::INT), 6) AS exact_rate,
+        round((SELECT avg(recall) FROM k), 4) AS balanced_accuracy, round((SELECT 2.0 * tp / (n + tp) FROM s) / (SELECT count(*) FROM labels), 4) AS macro_f1, round(1 - avg((sq AND sp AND y = z)::INT), 6) AS ece FROM x""")
 def majority_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    """Held-out findings against the training pool's commonest quadrant, position and diagnosis."""
+    """The first finding of each held-out image against the training pool's commonest
+    quadrant, position and diagnosis, told with confidence 1: rates, balanced accuracy,
+    macro F1 over the labels of either side, and calibration error. An empty pool gives
+    way to all annotations; without findings there is no row."""
     n = named_annots(spark, sf)
     held = splits.held_out(images(spark, sf), "id", 0.1, SEED).select(F.col("id").alias("image_id"))
-    pool = n.join(held, "image_id", "left_anti")
-    common = pool.agg(F.mode("q", True).alias("quadrant"), F.mode("p", True).alias("position"), F.mode("diagnosis", True).alias("guess"))
-    t = n.join(held, "image_id", "left_semi").join(common)
-    q = F.col("q") == F.col("quadrant")
-    at = q & (F.col("p") == F.col("position"))
-    return t.groupBy("quadrant", "position", F.col("guess").alias("diagnosis")).agg(F.count("*").alias("n"), metrics.share(q).alias("quadrant_rate"), metrics.share(at).alias("fdi_rate"), metrics.share(at & (F.col("diagnosis") == F.col("guess"))).alias("exact_rate"))
+    guess = lambda of: of.agg(F.count("*").alias("k"), F.mode("q", True).alias("q"), F.mode("p", True).alias("p"), F.mode("diagnosis", True).alias("d")).select(F.struct("*").alias("g")).scalar()
+    w = W.partitionBy("image_id").orderBy("id", "c1", "c2", "c3")
+    first = n.join(held, "image_id", "left_semi").withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    pooled, any_ = guess(n.join(held, "image_id", "left_anti")), guess(n)
+    t = first.withColumn("g", F.when(pooled["k"] > 0, pooled).otherwise(any_))
+    q = F.col("q") == F.col("g.q")
+    at = q & (F.col("p") == F.col("g.p"))
+    true, told = F.lower(F.coalesce("diagnosis", F.lit("Caries"))), F.lower("g.d")
+    x = t.select(F.col("g"), q.alias("sq"), at.alias("at"), true.alias("y"), told.alias("z"), (at & (true == told)).alias("exact"))
+    classes = metrics.macro(metrics.per_class(x, "y", "z")).select(F.struct("*").alias("c")).scalar()
+    rates = x.groupBy(F.col("g.q").alias("quadrant"), F.col("g.p").alias("position"), F.col("g.d").alias("diagnosis")).agg(
+        F.count("*").alias("n"), metrics.share(F.col("sq")).alias("quadrant_rate"), metrics.share(F.col("at")).alias("fdi_rate"), metrics.share(F.col("exact")).alias("exact_rate"), F.round(1 - F.avg(F.coalesce("exact", F.lit(False)).cast("int")), 6).alias("ece")
+    )
+    return rates.withColumn("c", classes).select("quadrant", "position", "diagnosis", "n", "quadrant_rate", "fdi_rate", "exact_rate", "c.balanced_accuracy", "c.macro_f1", "ece")
 
 
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,45 +252,52 @@ def paired_diff(spark: SparkSession, sf: str) -> DataFrame:
     return _runs(spark, sf).agg(F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("mean_a"), F.round(F.avg("b"), 6).alias("mean_b"), (F.round(F.avg(F.col("a") - F.col("b")), 6) + F.lit(0.0)).alias("mean_difference"))
 
 
-def _bootstrap_sql(relation: str, key: str, value: str, replicates: int, seed: int) -> str:
-    u = f"({mixed_sql(f'(CAST({key} AS BIGINT) * 1000 + b)', seed)} / 2147483647.0)"
-    return f"""v AS (SELECT {key} AS i, CAST({value} AS DOUBLE) AS v FROM {relation} WHERE {value} IS NOT NULL AND {key} IS NOT NULL),
-    w AS (SELECT b, v, {metrics.resampling_weight_sql(u.replace(key, 'i'))} AS w FROM v, range(1, {replicates + 1}) x(b)), m AS (SELECT sum(w * v) / sum(w) AS m FROM w GROUP BY b)
-    SELECT (SELECT count(*) FROM v) AS n, (SELECT round(avg(v), 6) FROM v) AS point, (SELECT round(quantile_cont(m, 0.025), 6) FROM m) AS low, (SELECT round(quantile_cont(m, 0.975), 6) FROM m) AS high"""
+def _draws_sql(relation: str, key: str, replicates: int, seed: int, parts: dict[str, str]) -> str:
+    """CTEs v (rows) and m (sums per replicate) of a resampling."""
+    u = f"({mixed_sql(f'(i * {max(1000, replicates)} + b)', seed)} / 2147483647.0)"
+    values = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in parts.items())
+    return f"""v AS (SELECT CAST({key} AS BIGINT) AS i, {values} FROM {relation} WHERE {key} IS NOT NULL AND {' AND '.join(f'({e}) IS NOT NULL' for e in parts.values())}),
+    w AS (SELECT v.*, b, {metrics.resampling_weight_sql(u)} AS w FROM v, range(1, {replicates + 1}) x(b)), m AS (SELECT b, sum(w)::DOUBLE AS n, {', '.join(f'sum(w * {n}) AS {n}' for n in parts)} FROM w GROUP BY b HAVING sum(w) > 0)"""
 
 
-def _paired_ci(spark: SparkSession, sf: str, replicates: int) -> DataFrame:
-    return metrics.bootstrap_mean(_runs(spark, sf), "image_id", F.col("a") - F.col("b"), replicates, 0)
+def _interval_sql(metric: str, parts: list[str]) -> str:
+    return f"SELECT (SELECT count(*) FROM v) AS n, (SELECT round({metric}, 6) FROM (SELECT count(*)::DOUBLE AS n, {', '.join(f'sum({p}) AS {p}' for p in parts)} FROM v)) AS point, (SELECT round(quantile_cont({metric}, 0.025), 6) FROM m) AS low, (SELECT round(quantile_cont({metric}, 0.975), 6) FROM m) AS high"
 
 
-def _metric_ci(spark: SparkSession, sf: str, replicates: int) -> DataFrame:
-    pr, tr = F.col("pr"), F.col("tr")
-    exact = F.coalesce((pr["quadrant"] == tr["quadrant"]) & (pr["tooth_position"] == tr["tooth_position"]) & (scoring.clean(pr["diagnosis"]) == scoring.clean(tr["diagnosis"])), F.lit(False))
-    return metrics.bootstrap_mean(first_pairs(spark, sf), "record_id", exact.cast("double"), replicates, 42)
+_BY_IMAGE = "dd AS (SELECT image_id, a - b AS x FROM d)"
 
 
-@query(f"WITH {FIRST}, {_RUNS}, dd AS (SELECT image_id, a - b AS x FROM d), {_bootstrap_sql('dd', 'image_id', 'x', 200, 0)}")
-def paired_bootstrap_ci_200(spark: SparkSession, sf: str) -> DataFrame:
-    """Check of the resampling against SQL, on 200 replicates; the full number is in paired_bootstrap_ci."""
-    return _paired_ci(spark, sf, 200)
+@query(f"WITH {FIRST}, {_RUNS}, {_BY_IMAGE}, {_draws_sql('dd', 'image_id', 2000, 0, {'x': 'x'})} SELECT *, low > 0 OR high < 0 AS excludes_zero FROM ({_interval_sql('x / n', ['x'])})")
+def paired_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean difference of two runs on the images of both, 2000 resamples, and whether
+    the interval leaves out 0."""
+    got = metrics.bootstrap_mean(_runs(spark, sf), "image_id", F.col("a") - F.col("b"), 2000, 0)
+    return got.withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
 
 
-@query()
-def paired_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    """2000 replicates, as published (no SQL twin: held against a brute-force version in the tests)."""
-    return _paired_ci(spark, sf, 2000)
+@query(f"WITH {FIRST}, e AS (SELECT record_id, ({_Q} AND {_T} AND {_DD})::INT AS x FROM f), {_draws_sql('e', 'record_id', 1000, 42, {'x': 'x'})} {_interval_sql('x / n', ['x'])}")
+def metric_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of exact answers, 1000 resamples."""
+    pr, tr = F.col("pr"), F.col("tr")
+    exact = F.coalesce((pr["quadrant"] == tr["quadrant"]) & (pr["tooth_position"] == tr["tooth_position"]) & (scoring.clean(pr["diagnosis"]) == scoring.clean(tr["diagnosis"])), F.lit(False))
+    return metrics.bootstrap_mean(first_pairs(spark, sf), "record_id", exact.cast("double"), 1000, 42)
 
 
-@query(f"WITH {FIRST}, e AS (SELECT record_id, ({_Q} AND {_T} AND {_DD})::INT AS x FROM f), {_bootstrap_sql('e', 'record_id', 'x', 200, 42)}")
-def metric_bootstrap_ci_200(spark: SparkSession, sf: str) -> DataFrame:
-    """Check of the resampling against SQL, on 200 replicates; the full number is in metric_bootstrap_ci."""
-    return _metric_ci(spark, sf, 200)
+_KINDS = ["impacted tooth", "caries", "periapical lesion", "deep caries"]
+_F1_PARTS = {f"{k}{i}": e for i, d in enumerate(_KINDS) for k, e in ((f"tp", f"(y = '{d}' AND z = '{d}')::INT"), ("fp", f"(y <> '{d}' AND z = '{d}')::INT"), ("fn", f"(y = '{d}' AND z <> '{d}')::INT"))}
+_F1_SQL = "(" + " + ".join(f"coalesce(2 * tp{i} / nullif(2 * tp{i} + fp{i} + fn{i}, 0), 0)" for i in range(len(_KINDS))) + f") / {len(_KINDS)}"
 
 
-@query()
-def metric_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    """1000 replicates, as published (no SQL twin: held against a brute-force version in the tests)."""
-    return _metric_ci(spark, sf, 1000)
+@query(f"""WITH {FIRST}, e AS (SELECT record_id, coalesce({_D.format('tr')}, 'none') AS y, coalesce({_D.format('pr')}, 'none') AS z FROM f), {_draws_sql('e', 'record_id', 1000, 42, _F1_PARTS)} {_interval_sql(_F1_SQL, list(_F1_PARTS))}""")
+def macro_f1_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
+    """Another metric in the same resampling: macro F1 over the known diagnoses."""
+    f = first_pairs(spark, sf).select("record_id", F.coalesce(scoring.clean(F.col("tr.diagnosis")), F.lit("none")).alias("y"), F.coalesce(scoring.clean(F.col("pr.diagnosis")), F.lit("none")).alias("z"))
+    parts = {}
+    for i, d in enumerate(_KINDS):
+        y, z = F.col("y") == d, F.col("z") == d
+        parts |= {f"tp{i}": (y & z).cast("int"), f"fp{i}": (~y & z).cast("int"), f"fn{i}": (y & ~z).cast("int")}
+    f1 = lambda s: sum((F.coalesce(F.try_divide(2 * s[f"tp{i}"], 2 * s[f"tp{i}"] + s[f"fp{i}"] + s[f"fn{i}"]), F.lit(0.0)) for i in range(len(_KINDS))), F.lit(0.0)) / len(_KINDS)
+    return metrics.bootstrap(f, "record_id", parts, f1, 1000, 42)
 
 
 _FAIL = f"""CASE WHEN NOT format_ok THEN 'format_failure' WHEN {_Q} AND {_T} AND coalesce(lower(pr.diagnosis) = lower(tr.diagnosis), false) THEN 'correct' WHEN {_Q} AND {_T} THEN 'wrong_diagnosis_right_location'
@@ -273,7 +308,7 @@ _FAIL = f"""CASE WHEN NOT format_ok THEN 'format_failure' WHEN {_Q} AND {_T} AND
 def failure_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     f = first_pairs(spark, sf).select(scoring.failure(F.col("format_ok"), F.col("pr"), F.col("tr")).alias("category"))
     per = f.groupBy("category").agg(F.count("*").alias("n"))
-    return per.join(per.agg(F.sum("n").alias("whole"))).select("category", "n", F.round(F.col("n") / F.col("whole"), 6).alias("fraction"))
+    return per.select("category", "n", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 6).alias("fraction"))  # five rows
 
 
 @query(f"""WITH {FIRST}, {_CALLS}, x AS (SELECT f.*, coalesce(e.good < e.calls, false) AS bad FROM f LEFT JOIN e USING (record_id)),
@@ -287,23 +322,6 @@ def failure_multi(spark: SparkSession, sf: str) -> DataFrame:
     return first_pairs(spark, sf).select(F.explode(groups).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
-# Published measurements of five folds (fold, mAP50, mAP50-95, precision, recall).
-FOLDS = [
-    (0, 0.5854, 0.3355, 0.5513, 0.8673),
-    (1, 0.5901, 0.3464, 0.5457, 0.8880),
-    (2, 0.5726, 0.3263, 0.5304, 0.8393),
-    (3, 0.5734, 0.3408, 0.5464, 0.8485),
-    (4, 0.5887, 0.3405, 0.5486, 0.8344),
-]
-
-
-@query("WITH f(fold, map50, map95, p, r) AS (VALUES " + ", ".join(f"({a}, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE, {e}::DOUBLE)" for a, b, c, d, e in FOLDS) + ") SELECT round(avg(map50), 6) AS mean_map50, round(stddev_pop(map50), 6) AS std_map50, round(avg(map95), 6) AS mean_map95, round(stddev_pop(map95), 6) AS std_map95, CAST(arg_max(fold, map95) AS INTEGER) AS best_fold FROM f")
-def cv_summary(spark: SparkSession, sf: str) -> DataFrame:
-    f = spark.createDataFrame(FOLDS, "fold int, map50 double, map95 double, p double, r double")
-    r = lambda c: F.round(c, 6)
-    return f.agg(r(F.avg("map50")).alias("mean_map50"), r(F.stddev_pop("map50")).alias("std_map50"), r(F.avg("map95")).alias("mean_map95"), r(F.stddev_pop("map95")).alias("std_map95"), F.max_by("fold", "map95").alias("best_fold"))
-
-
 @query(f"""WITH {FIRST}, {ANNOTS} SELECT DISTINCT image_id FROM f WHERE image_id IN (SELECT image_id FROM a)""")
 def evaluated_and_annotated(spark: SparkSession, sf: str) -> DataFrame:
     return first_pairs(spark, sf).select("image_id").intersect(annots(spark, sf).select("image_id")).where("image_id is not null")

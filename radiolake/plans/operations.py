@@ -30,19 +30,32 @@ def _replies(spark: SparkSession, sf: str) -> DataFrame:
     """Trace documents as replies, wrapped in thinking blocks, fences or cut off by id."""
     d = read_table(spark, sf, "documents").where("doc_id is not null and text is not null")
     k = F.col("doc_id") % 5
-    body = F.concat(F.lit('{"thought": '), F.to_json(F.struct(F.col("text").alias("t"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("text").alias("t")))) - 6), F.lit(', "tool": "denoise", "args": {"method": "median"}}'))
+    body = F.concat(F.lit('{"thought": '), F.regexp_extract(F.to_json(F.struct(F.col("text").alias("t"))), r'(?s)^\{"t":(.*)\}$', 1), F.lit(', "tool": "denoise", "args": {"method": "median"}}'))
+    listed = F.concat(F.lit('{"thought": '), F.regexp_extract(F.to_json(F.struct(F.col("text").alias("t"))), r'(?s)^\{"t":(.*)\}$', 1), F.lit(', "tool_calls": [{"tool": "denoise", "args": {"method": "median"}}]}'))
     think = F.concat(F.lit("<think>as before</think>"), body)
-    cut = body.substr(F.lit(1), F.length(body) - 12)
-    reply = F.when(k == 0, body).when(k == 1, think).when(k == 2, F.concat(F.lit("So:\n```json\n"), body, F.lit("\n```"))).when(k == 3, cut).otherwise(F.col("text"))
-    return d.select("doc_id", "text", reply.alias("reply"))
+    cut = body.substr(F.lit(1), F.length(body) - 9)
+    reply = F.when(k == 0, listed).when(k == 1, think).when(k == 2, F.concat(F.lit("So:\n```json\n"), body, F.lit("\n```"))).when(k == 3, cut).otherwise(F.col("text"))
+    return d.select("doc_id", "text", k.alias("k"), reply.alias("reply"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, text, doc_id % 5 AS k FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND doc_id % 5 < 4)
+    SELECT doc_id, 'denoise' AS tool, CASE WHEN k = 3 THEN '' ELSE 'median' END AS method, CASE WHEN contains(text, '<think>') OR contains(text, '```') THEN NULL ELSE length(text) END AS thought FROM d""")
 def agent_json_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Replies to actions by the scanner (no SQL twin: held against examples and a
+    """Replies to actions: every text of the documents as the thought of an action, bare,
+    behind a thinking block, in a fence, or cut off in its arguments. What a text with
+    such marks of its own leaves of the thought isn't told."""
+    marks = F.contains("text", F.lit("<think>")) | F.contains("text", F.lit("```"))
+    a = _replies(spark, sf).where("k < 4").select("doc_id", marks.alias("marks"), F.try_parse_json(text.action_json(F.col("reply"))).alias("v"))
+    said = F.length(F.try_variant_get("v", "$.thought", "string"))
+    return a.select("doc_id", F.try_variant_get("v", "$.tool_calls[0].tool", "string").alias("tool"), F.try_variant_get("v", "$.tool_calls[0].args.method", "string").alias("method"), F.when(~F.col("marks"), said).cast("bigint").alias("thought"))
+
+
+@query()
+def agent_text_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """The actions that the documents' own texts hold, if any (no SQL twin: held against a
     brute-force version in the tests)."""
-    a = _replies(spark, sf).select("doc_id", F.try_parse_json(text.action_json(F.col("reply"))).alias("v"))
-    return a.select("doc_id", F.try_variant_get("v", "$.tool_calls[0].tool", "string").alias("tool"), F.col("v").isNotNull().alias("parsed"))
+    d = read_table(spark, sf, "documents").where("text is not null")
+    return d.select("doc_id", text.action_json(F.col("text")).alias("action")).where("action is not null")
 
 
 @query("SELECT doc_id, trim(regexp_replace(t, '<think>.*?</think>', '', 'gis'), chr(32)) AS rest FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<think>' || text || '</think>' || coalesce(lang, '') ELSE text END AS t FROM documents WHERE text IS NOT NULL)")
@@ -57,19 +70,6 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("trajectory_id", (F.col("i") + 1).alias("i"), F.col("m.content").alias("content")).where("content is not null").distinct()
 
 
-_REWARDED = "SELECT trajectory_id, i, CASE WHEN (trajectory_id + i) % 3 = 0 THEN content WHEN (trajectory_id + i) % 3 = 1 THEN '<think>as before</think>' || content ELSE '<think>as before</think> ' END AS c FROM (SELECT DISTINCT trajectory_id, generate_subscripts(messages, 1) AS i, unnest(messages).content AS content FROM agent_trajectory WHERE messages IS NOT NULL) WHERE content IS NOT NULL AND regexp_matches(content, '^[\\x20-\\x7E]*$')"
-
-
-@query(f"""SELECT trajectory_id, i, CASE WHEN contains(c, '<think>') AND trim(regexp_extract(c, '<think>.*?</think>(.*)', 1, 's')) <> '' AND json_valid(trim(regexp_extract(c, '<think>.*?</think>(.*)', 1, 's'))) THEN 1.0 ELSE -1.0 END::DOUBLE AS reward FROM ({_REWARDED})""")
-def format_reward_ascii(spark: SparkSession, sf: str) -> DataFrame:
-    """Check of format_reward's scorer against SQL, on single-line ASCII messages only, a third
-    of them blank behind the thinking: what both engines read alike. format_reward has every message."""
-    m = _messages(spark, sf)
-    k = (F.col("trajectory_id") + F.col("i")) % 3
-    c = F.when(k == 0, F.col("content")).when(k == 1, F.concat(F.lit("<think>as before</think>"), F.col("content"))).otherwise(F.lit("<think>as before</think> "))
-    return m.where(F.col("content").rlike(r"^[\x20-\x7E]*\z")).select("trajectory_id", "i", text.format_reward(c).alias("reward"))
-
-
 @query()
 def format_reward(spark: SparkSession, sf: str) -> DataFrame:
     """Every message with content, two thirds of them behind a thinking block (no SQL twin:
@@ -154,12 +154,12 @@ def trace_status(spark: SparkSession, sf: str) -> DataFrame:
     return traces.status_counts(read_table(spark, sf, "train_cot_traces_unverified"), read_table(spark, sf, "verified_traces"))
 
 
-@query(f"WITH {ANNOTS}, c AS (SELECT image_id, count(*) AS k FROM a WHERE image_id IS NOT NULL GROUP BY image_id) SELECT image_id, least(30, greatest(6, k + 4)) AS closed_budget, greatest(12, k + 3) AS open_budget, k * 6 AS calls, CAST(ceil(k * 6 / 20) AS BIGINT) AS days, round(8.7 - 1.7 + k * 0.6, 2)::DOUBLE AS gb FROM c")
+@query(f"WITH {ANNOTS}, c AS (SELECT image_id, count(*) AS k FROM a WHERE image_id IS NOT NULL GROUP BY image_id) SELECT image_id, least(30, greatest(6, k + 4)) AS closed_budget, greatest(12, k + 3) AS open_budget, k * 6 AS calls, CAST(ceil(k * 6 / 20) AS BIGINT) AS days, round(4.5 + 0.3 + 1.0 + 1.2 + k * 0.6, 2)::DOUBLE AS gb FROM c")
 def turn_budget(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("k")
     per = annots(spark, sf).where("image_id is not null").groupBy("image_id").agg(F.count("*").alias("k"))
     calls, days = budget.call_budget(k, 3, 20)
-    return per.select("image_id", budget.turn_budget(k, 6, 30, 4).alias("closed_budget"), budget.open_turn_budget(k, 12).alias("open_budget"), calls.alias("calls"), days.alias("days"), budget.memory_gb(k, F.lit(2048)).alias("gb"))
+    return per.select("image_id", budget.turn_budget(k, 6, 30, 4).alias("closed_budget"), budget.open_turn_budget(k, 12).alias("open_budget"), calls.alias("calls"), days.alias("days"), budget.memory(k, F.lit(2048))["estimated_peak_gb"].alias("gb"))
 
 
 @query("SELECT trajectory_id, CAST(sum(length(coalesce(m.content, '')) // 4) AS BIGINT) + 600 * count(*) FILTER (WHERE contains(m.content, '<Image>')) AS tokens FROM (SELECT DISTINCT trajectory_id, generate_subscripts(messages, 1) AS i, unnest(messages) AS m FROM agent_trajectory WHERE messages IS NOT NULL) WHERE m IS NOT NULL GROUP BY trajectory_id")
@@ -175,11 +175,18 @@ def catalog_summary(spark: SparkSession, sf: str) -> DataFrame:
     return catalog(spark).groupBy("annotation_type").agg(F.count("*").alias("datasets"), F.sum("n_images").alias("images"), F.max_by("name", "n_images").alias("largest"))
 
 
-@query("SELECT g AS group_size, k AS kl_beta, round(8.7 - 1.7 + g * 0.6, 2)::DOUBLE AS gb FROM (VALUES (2), (4), (8)) a(g), (VALUES (0.0::DOUBLE), (0.01::DOUBLE), (0.1::DOUBLE)) b(k)")
+_GB = "4.5 + 0.3 + 1.0 + 1.2 + 0.6 * g"
+
+
+@query(f"""SELECT g AS group_size, k AS kl_beta, round({_GB}, 2)::DOUBLE AS gb, {_GB} <= 23.0 AS fits_24, {_GB} <= 15.0 AS fits_16, round(0.6 * g, 2)::DOUBLE AS activations,
+    round(3e9::DOUBLE * 0.5 / 1073741824, 2)::DOUBLE AS base_gb, round(3e9::DOUBLE * 0.5 / 1073741824 + 3e7 * 2 / 1073741824 + 3e7 * 16 / 1073741824 + g::DOUBLE * 2048 * 4096 * 8 / 1073741824 + 2048.0::DOUBLE * 4096 * 2 / 1073741824 + 1.2, 2)::DOUBLE AS analytic_gb
+    FROM (VALUES (2), (4), (8), (16), (32)) a(g), (VALUES (0.0::DOUBLE), (0.01::DOUBLE), (0.1::DOUBLE)) b(k)""")
 def training_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Every group size with every penalty weight: nine literal rows."""
-    g, k = spark.createDataFrame([(2,), (4,), (8,)], "group_size int"), spark.createDataFrame([(0.0,), (0.01,), (0.1,)], "kl_beta double")
-    return g.join(k).select("group_size", "kl_beta", budget.memory_gb(F.col("group_size"), F.lit(2048)).alias("gb"))
+    """Every group size with every penalty weight, each with both memory estimates."""
+    cells = F.flatten(F.transform(F.array(*map(F.lit, (2, 4, 8, 16, 32))), lambda g: F.transform(F.array(*map(F.lit, (0.0, 0.01, 0.1))), lambda k: F.struct(g.alias("group_size"), k.alias("kl_beta")))))
+    grid = spark.range(1).select(F.inline(cells))
+    rule, parts = budget.memory(F.col("group_size"), F.lit(2048)), budget.analytic_memory(F.col("group_size"), F.lit(2048))
+    return grid.select("group_size", "kl_beta", rule["estimated_peak_gb"].alias("gb"), rule["fits_in_24gb"].alias("fits_24"), rule["fits_in_16gb"].alias("fits_16"), rule["peak_activations_gb"].alias("activations"), parts["base_model_gb"].alias("base_gb"), parts["total_gb"].alias("analytic_gb"))
 
 
 @query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS step FROM events WHERE ts IS NOT NULL")
@@ -190,10 +197,18 @@ def log_steps(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("event_id", "event_type", (F.col("step") + 1).alias("step"))
 
 
-@query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE regexp_matches(lower(event_type || ' 50' || (event_id % 20)), '\\b50[0-9]\\b|internal|unavailable|overloaded|timeout')) AS server_errors FROM events GROUP BY event_type")
+# Replies of a server, by the number of an event.
+_TOLD = ["500 Internal error", "HTTP 502 bad gateway", "Server said 503. Try later", "504", "code 500", "HTTP 5000", "HTTP 501 not implemented", "HTTP 429", "Model UNAVAILABLE", "Internal Server Error", "timeout", "overloaded", "  503 ", "505 x", "status only"]
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE event_id % 15 IN (0, 1, 2, 3, 8, 9, 12) OR (event_id % 15 = 14 AND 490 + event_id % 40 BETWEEN 500 AND 599)) AS server_errors FROM events GROUP BY event_type")
 def server_error_counts(spark: SparkSession, sf: str) -> DataFrame:
-    told = F.concat(F.col("event_type"), F.lit(" 50"), (F.col("event_id") % 20).cast("string"))
-    return read_table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(text.server_error(told)).alias("server_errors"))
+    """Errors on the server's side among the replies to each kind of event. By the published
+    rule a code counts before a blank or dot, or at the start: not 'code 500', not 'timeout'."""
+    k = F.col("event_id") % 15
+    told = F.get(F.array(*[F.lit(t) for t in _TOLD]), k.cast("int"))
+    status = F.when(k == 14, 490 + F.col("event_id") % 40)
+    return read_table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(text.server_error(told, status)).alias("server_errors"))
 
 
 @query("SELECT doc_id, source, trim(lower(source)) NOT IN ('', 'none') AND NOT starts_with(trim(lower(source)), 'your_') AND NOT contains(lower(source), 'placeholder') AS usable FROM documents WHERE source IS NOT NULL")
@@ -209,3 +224,92 @@ def _assistant(c: Column) -> Column:
 @query("SELECT DISTINCT trajectory_id, array_to_string(list_transform(list_filter(messages, lambda m: lower(trim(m.role)) = 'assistant' AND m.content IS NOT NULL), lambda m: m.content), chr(10) || chr(10)) AS said FROM agent_trajectory WHERE messages IS NOT NULL")
 def assistant_text(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "agent_trajectory").where("messages is not null").select("trajectory_id", _assistant(F.col("messages")).alias("said")).distinct()
+
+
+@query(f"""WITH {SCORED}, u AS (SELECT record_id, generate_subscripts(turns, 1) AS i, unnest(turns) AS t FROM t WHERE turns IS NOT NULL)
+    SELECT t.record_id, coalesce(g.told, '') AS told FROM t LEFT JOIN (SELECT record_id, string_agg(coalesce(t.raw_output, ''), chr(10) ORDER BY i) AS told FROM u WHERE t IS NOT NULL GROUP BY record_id) g USING (record_id)""")
+def reasoning_text(spark: SparkSession, sf: str) -> DataFrame:
+    """What each record's turns put out, joined by line breaks."""
+    return scored(spark, sf).select("record_id", text.reasoning(F.col("turns")).alias("told"))
+
+
+_MARK = "[Earlier tool result omitted]"
+_IS_IMAGE = "contains(m.content, '<Image>')"
+
+
+@query(f"""WITH u AS (SELECT DISTINCT trajectory_id, generate_subscripts(messages, 1) AS i, unnest(messages) AS m FROM agent_trajectory WHERE messages IS NOT NULL AND trajectory_id IS NOT NULL),
+    k AS (SELECT *, coalesce({_IS_IMAGE}, false) AND i > 1 AS im FROM u), r AS (SELECT *, sum(im::INT) OVER (PARTITION BY trajectory_id ORDER BY i DESC) AS later FROM k),
+    s AS (SELECT trajectory_id, sum(length(coalesce(m.content, '')) // 4) + 600 * count(*) FILTER (WHERE {_IS_IMAGE}) AS tokens FROM u GROUP BY trajectory_id)
+    SELECT trajectory_id, i, CASE WHEN im AND later > 1 AND tokens > 100 THEN '{_MARK}' ELSE m.content END AS content FROM r JOIN s USING (trajectory_id) WHERE m IS NOT NULL""")
+def trimmed_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages with all but the last image given up where the estimate is over the limit;
+    the first message keeps its image."""
+    m = read_table(spark, sf, "agent_trajectory").where("trajectory_id is not null and messages is not null").select("trajectory_id", "messages").distinct()
+    kept = budget.trimmed(F.col("messages"), limit=100, keep=1, mark=_MARK)
+    return m.select("trajectory_id", F.posexplode(kept).alias("i", "m")).where("m is not null").select("trajectory_id", (F.col("i") + 1).cast("bigint").alias("i"), F.col("m.content").alias("content"))
+
+
+@query(f"""WITH {IMAGES}, v AS (SELECT DISTINCT trajectory_id, image_id, generate_subscripts(messages, 1) AS i, unnest(messages).content AS c FROM agent_trajectory WHERE messages IS NOT NULL)
+    SELECT trajectory_id, i, replace(c, '"<Image>"', '"file://' || coalesce(i.local_path, '') || '"') AS content FROM v LEFT JOIN i ON i.id = v.image_id WHERE c LIKE '%"<Image>"%'""")
+def images_put_in(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages with an image's mark replaced by the file of their trajectory's image."""
+    paths = images(spark, sf).select(F.col("id").alias("image_id"), "local_path")
+    m = read_table(spark, sf, "agent_trajectory").select("trajectory_id", "image_id", F.posexplode("messages").alias("i", "m")).select("trajectory_id", "image_id", (F.col("i") + 1).cast("bigint").alias("i"), F.col("m.content").alias("content")).where(F.contains("content", F.lit('"<Image>"'))).distinct()
+    return m.join(paths, "image_id", "left").select("trajectory_id", "i", text.with_image(F.col("content"), F.coalesce("local_path", F.lit(""))).alias("content"))
+
+
+@query(f"""WITH {SCORED}, u AS (SELECT record_id, gt, generate_subscripts(c, 1) AS i, unnest(c) AS c FROM (SELECT record_id, gt, flatten(list_transform(list_filter(coalesce(turns, []), lambda x: x IS NOT NULL), lambda x: list_filter(coalesce(x.tool_calls_this_turn, []), lambda y: y IS NOT NULL))) AS c FROM t)),
+    h AS (SELECT record_id, i, TRY_CAST(c.tool_args['tooth'] AS INTEGER) AS tooth, gt FROM u WHERE c.tool_name = 'locate_tooth')
+    SELECT record_id, i, tooth, list_filter(gt, lambda f: f IS NOT NULL AND f.quadrant = tooth // 10 AND f.tooth_position = tooth % 10 AND f.bbox IS NOT NULL AND tooth BETWEEN 10 AND 99)[1].bbox AS hint FROM h""")
+def box_hints(spark: SparkSession, sf: str) -> DataFrame:
+    """For each search for a tooth the box of the first true finding there, null without one."""
+    c = scored(spark, sf).select("record_id", "gt", F.posexplode(scoring.calls(F.col("turns"))).alias("i", "c")).where("c.tool_name = 'locate_tooth'")
+    tooth = F.col("c.tool_args")["tooth"].try_cast("int")
+    return c.select("record_id", "gt", (F.col("i") + 1).cast("bigint").alias("i"), tooth.alias("tooth")).select("record_id", "i", "tooth", scoring.box_hint(F.col("gt"), F.col("tooth")).alias("hint"))
+
+
+@query(f"""WITH {IMAGES}, v AS (SELECT * FROM (SELECT trace_id, image_id, image_path, row_number() OVER (PARTITION BY trace_id ORDER BY image_id NULLS FIRST, image_path NULLS FIRST) AS rn FROM verified_traces WHERE trace_id IS NOT NULL) WHERE rn = 1)
+    SELECT trace_id, coalesce(nullif(image_path, ''), i.local_path) AS path FROM v LEFT JOIN i ON i.id = v.image_id""")
+def trace_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The path of each verified trace's image: its own, else that of its image's row."""
+    v = read_table(spark, sf, "verified_traces").where("trace_id is not null").groupBy("trace_id").agg(F.min(F.struct("image_id", "image_path")).alias("s")).select("trace_id", "s.*")
+    paths = images(spark, sf).select(F.col("id").alias("image_id"), "local_path")
+    return v.join(paths, "image_id", "left").select("trace_id", F.coalesce(F.nullif("image_path", F.lit("")), "local_path").alias("path"))
+
+
+@query(f"""WITH {SCORED}, p AS (SELECT record_id, image_id, generate_subscripts(preds, 1) AS i, unnest(preds) AS f FROM t WHERE preds IS NOT NULL)
+    SELECT record_id, i, 'Analyze this panoramic X-ray (image_id=' || coalesce(CAST(image_id AS VARCHAR), 'unknown') || ').' AS prompt, 'Q' || coalesce(CAST(f.quadrant AS VARCHAR), '?') || 'T' || coalesce(CAST(f.tooth_position AS VARCHAR), '?') || ':' || coalesce(f.diagnosis, '?') AS target FROM p WHERE f IS NOT NULL""")
+def training_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """One record to many examples: a row for each finding that its answer has."""
+    e = traces.examples(scored(spark, sf), "record_id", "image_id", "preds", lambda f: text.findings_hint(F.array(f)))
+    return e.select("record_id", (F.col("i") + 1).cast("bigint").alias("i"), "prompt", "target")
+
+
+@query(f"""WITH {SCORED} SELECT count(*) AS n, count(*) FILTER (WHERE format_ok) AS good, round(count(*) FILTER (WHERE format_ok) / greatest(count(*), 1), 6)::DOUBLE AS rate FROM (SELECT * FROM t ORDER BY record_id LIMIT 10)""")
+def judged_share(spark: SparkSession, sf: str) -> DataFrame:
+    """The grounded share of the first ten records, as a judge handed in from outside tells
+    it (here one that believes well-formed answers)."""
+    def judge(batches):
+        for b in batches:
+            yield b.assign(grounded=b["format_ok"])[["record_id", "grounded"]]
+
+    first = scored(spark, sf).select("record_id", "format_ok").orderBy("record_id").limit(10)
+    return traces.grounding_rate(first.mapInPandas(judge, "record_id long, grounded boolean")).withColumnRenamed("grounded", "good")
+
+
+@query(f"""WITH {IMAGES}, {ANNOTS} SELECT i.id, CAST(count(a.id) % 5 AS BIGINT) AS answer FROM i JOIN a ON a.image_id = i.id WHERE i.id NOT IN (SELECT image_id FROM train_cot_traces_unverified WHERE {_STATE} = 'unverified' AND image_id IS NOT NULL) GROUP BY i.id""")
+def agent_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """A function handed in from outside, run once on every image that isn't done yet."""
+    k = annots(spark, sf).where("image_id is not null").groupBy(F.col("image_id").alias("id")).agg(F.count("*").alias("k"))
+    todo = traces.eligible(images(spark, sf).select("id").join(k, "id"), read_table(spark, sf, "train_cot_traces_unverified"))
+    return traces.run_agent(todo, "id", lambda b: b["k"] % 5, "long")
+
+
+@query("""WITH e AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) - 1 AS r, date_trunc('day', ts) AS d FROM events WHERE ts IS NOT NULL),
+    k AS (SELECT *, r % 7 AS key FROM e) SELECT key, CAST(epoch_us(d) // 86400000000 AS INTEGER) AS day, count(*) AS calls, count(*) FILTER (WHERE n > 19) AS over_cap, count(*) FILTER (WHERE gap < 15000000) AS waited
+    FROM (SELECT *, row_number() OVER (PARTITION BY key, d ORDER BY ts, event_id) AS n, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY key ORDER BY ts, event_id) AS gap FROM k) GROUP BY 1, 2""")
+def key_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls dealt in turn to seven keys, and how many of a key's would have waited or gone
+    over its daily cap (rates and caps times the margin of 0.95)."""
+    e = read_table(spark, sf, "events").where("ts is not null").select("event_id", limits.calls_micros(F.col("ts")).alias("t"))
+    return limits.round_robin(e, "t", ["event_id"], keys=7, per_minute=5, per_day=20, margin=0.95)

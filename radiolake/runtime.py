@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,6 +21,7 @@ def session(app: str = "radiolake", cores: int | str = "*", **conf: str) -> Spar
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": str(os.cpu_count() or 8),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
@@ -35,7 +38,9 @@ def shipped(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if not getattr(context, "_radiolake_shipped", False):
         package = Path(__file__).resolve().parent
-        archive = Path(tempfile.mkdtemp(prefix="radiolake-"), "radiolake.zip")
+        folder = tempfile.mkdtemp(prefix="radiolake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = Path(folder, "radiolake.zip")
         with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
             for f in sorted(package.rglob("*.py")):
                 z.write(f, f.relative_to(package.parent))
@@ -48,15 +53,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from those files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see: the one the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where
-    that is unset (tests, one machine) a temporary folder is used.
+    Where that is unset a temporary folder is made, but only under a local master:
+    on a cluster it would be another folder on every machine, so that is an error.
     """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    if not getattr(context, "_radiolake_folder", None):
+        context._radiolake_folder = tempfile.mkdtemp(prefix="radiolake-")
+        atexit.register(shutil.rmtree, context._radiolake_folder, ignore_errors=True)
+    return context._radiolake_folder
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system that the cluster knows exists."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from those files."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="radiolake-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

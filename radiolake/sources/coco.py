@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename, dirname
 from ..operators.ranking import running_total
+from ..runtime import path_exists
 
 DOCUMENT = """images array<struct<id: bigint, file_name: string, width: int, height: int>>,
     annotations array<struct<id: bigint, image_id: bigint, category_id_1: int, category_id_2: int, category_id_3: int, bbox: array<double>>>,
     categories array<struct<id: int, name: string>>, _corrupt string"""
+#: Places of a file numbered in one task when files are put together.
+RANGE = 4096
 KEYS = ("category_id_1", "category_id_2", "category_id_3", "bbox")
 
 
@@ -59,7 +60,7 @@ def tables(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     all files get ids 1 .. N by file and place, annotations follow their own file's
     images and fall away without one, categories come from the first file that has any."""
     i = documents.select("path", F.posexplode("images").alias("at", "x")).select("path", "at", F.col("x.id").alias("old_id"), "x.file_name", "x.width", "x.height")
-    i = running_total(i, [], ["path", "at"], F.lit(1), "before", bucket=F.lit(0)).withColumn("id", (F.col("before") + 1).cast("bigint"))
+    i = running_total(i, [], ["path", "at"], F.lit(1), "before", bucket=F.struct("path", F.floor(F.col("at") / RANGE))).withColumn("id", (F.col("before") + 1).cast("bigint"))
     a = documents.select("path", F.posexplode("annotations").alias("at", "x")).select("path", "at", "x.*")
     first = i.groupBy("path", F.col("old_id").alias("image_id")).agg(F.min("id").alias("new_id"))
     a = a.join(first, ["path", "image_id"]).select("id", F.col("new_id").alias("image_id"), *KEYS, F.col("path").alias("source_file"), F.col("at").alias("ord"))
@@ -72,7 +73,7 @@ def load(spark: SparkSession, root: str, split: str, combine: bool = False, cach
     """The three tables of the best document of a split, or of all of them combined.
     With cache, they are read from there if all three are, else written there."""
     names = ("images", "annotations", "categories")
-    if cache and all(Path(cache, f"{n}.parquet").exists() for n in names):
+    if cache and all(path_exists(spark, f"{cache}/{n}.parquet") for n in names):
         return tuple(spark.read.parquet(f"{cache}/{n}.parquet") for n in names)
     documents = read_documents(spark, root)
     if not combine:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..runtime import path_exists
+
 FINDING = "struct<quadrant: int, tooth_position: int, diagnosis: string, bbox: array<double>>"
 ANSWER = "struct<quadrant: int, tooth_position: int, diagnosis: string, confidence: double>"
 CALL = "struct<tool_name: string, tool_args: map<string, string>, tool_ok: boolean, tool_error: string>"
@@ -27,12 +27,11 @@ def read_lines(spark: SparkSession, path: str, schema: str, stream: bool = False
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """Traces of a JSON-lines file, or of one JSON array; a missing .json gives way to
     its .jsonl twin."""
-    p = Path(path)
-    if not p.exists() and p.suffix == ".json" and p.with_suffix(".jsonl").exists():
-        p = p.with_suffix(".jsonl")
-    if p.suffix == ".json":
-        return spark.read.schema(TRACE).option("multiLine", True).json(str(p))
-    return read_lines(spark, str(p), TRACE)
+    if path.endswith(".json") and not path_exists(spark, path) and path_exists(spark, path + "l"):
+        path += "l"
+    if path.endswith(".json"):
+        return spark.read.schema(TRACE).option("multiLine", True).json(path)
+    return read_lines(spark, path, TRACE)
 
 
 def append_lines(df: DataFrame, path: str) -> None:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.traces import normal_status, promoted
+from ..runtime import path_exists
 from ..sources.logs import TRACE, read_lines
 
 
@@ -27,7 +26,7 @@ def promote(spark: SparkSession, log: str, verified: str, checkpoint: str, verdi
     against the verified log first."""
 
     def batch(df: DataFrame, _: int) -> None:
-        done = spark.read.json(verified, schema=TRACE) if Path(verified).exists() else spark.createDataFrame([], TRACE)
+        done = spark.read.json(verified, schema=TRACE) if path_exists(spark, verified) else spark.createDataFrame([], TRACE)
         promoted(df, done, verdict).write.mode("append").json(verified)
 
     source = read_lines(spark, log, TRACE, stream=True)
