@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+from .runtime import fetch
+
 
 @dataclass(frozen=True)
 class Data:
@@ -113,7 +115,7 @@ def build(kind: type, values: dict) -> Any:
 
 
 def read(path: str) -> dict:
-    text = Path(path).read_text()
+    text = fetch(path).decode()
     if path.endswith((".yaml", ".yml")):
         try:
             import yaml

@@ -74,17 +74,17 @@ def bootstrap(df: DataFrame, row_id: str, parts: dict[str, Column], metric: Call
     """
     names = list(parts)
     sums = ["n", *names]
-    v = df.select(F.col(row_id).cast("bigint").alias("_i"), *[c.cast("double").alias(f"_{n}") for n, c in parts.items()]).dropna()
+    v = df.select(F.col(row_id).cast("bigint").alias("__id"), *[c.cast("double").alias(f"_{n}") for n, c in parts.items()]).dropna()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((replicates, len(sums)))
         for b in batches:
-            ids, x = b["_i"].to_numpy(), np.c_[np.ones(len(b)), b[[f"_{n}" for n in names]].to_numpy()]
+            ids, x = b["__id"].to_numpy(), np.c_[np.ones(len(b)), b[[f"_{n}" for n in names]].to_numpy()]
             for k in range(0, len(b), DRAWN_ROWS):
                 total += _draws(ids[k : k + DRAWN_ROWS], replicates, seed) @ x[k : k + DRAWN_ROWS]
-        yield pd.DataFrame(total, columns=[f"_{n}" for n in sums]).assign(_b=np.arange(replicates))
+        yield pd.DataFrame(total, columns=[f"_{n}" for n in sums]).assign(__rep=np.arange(replicates))
 
-    drawn = v.mapInPandas(run, ", ".join(f"_{n} double" for n in sums) + ", _b long").groupBy("_b").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
+    drawn = v.mapInPandas(run, ", ".join(f"_{n} double" for n in sums) + ", __rep long").groupBy("__rep").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
     value = metric({n: F.col(f"_{n}") for n in sums})
     low = (1 - share) / 2
     ends = drawn.where("_n > 0").agg(F.struct(F.round(F.percentile(value, low), 6).alias("low"), F.round(F.percentile(value, 1 - low), 6).alias("high")).alias("e")).scalar()  # as many values as replicates

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import json
 import time
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..runtime import store
 
 # Columns of the summary and their headings.
 HEADINGS = {
@@ -38,11 +40,9 @@ def summary_table(rows: dict[str, dict], style: str = "github") -> str:
 
 
 def write_report(rows: dict[str, dict], folder: str, title: str = "Results") -> None:
-    """metrics.json (by method) and report.md in a folder."""
-    out = Path(folder)
-    out.mkdir(parents=True, exist_ok=True)
-    (out / "metrics.json").write_text(json.dumps(rows, indent=2, ensure_ascii=False))
-    (out / "report.md").write_text(f"# {title}\n\n{summary_table(rows)}\n")
+    """metrics.json (by method) and report.md in a folder of any file system."""
+    store(f"{folder}/metrics.json", json.dumps(rows, indent=2, ensure_ascii=False).encode())
+    store(f"{folder}/report.md", f"# {title}\n\n{summary_table(rows)}\n".encode())
 
 
 def failure_log(df: DataFrame, path: str, category: str = "category") -> None:
@@ -68,10 +68,14 @@ def dataset_note(spark: SparkSession, root: str) -> str:
     return f"path: {root}\ntrain: images/train\nval: images/val\nnames:\n{names}\n"
 
 
-def run_note(path: str, **facts: object) -> None:
-    """Facts of a run with the time, as one line appended to a log."""
-    with Path(path).open("a") as f:
-        print(json.dumps({**facts, "timestamp": time.strftime("%Y-%m-%dT%H:%M:%S")}, default=str), file=f)
+def run_note(folder: str, name: str, **facts: object) -> None:
+    """Facts of a run with the time, as a JSON file of its own in a folder."""
+    store(f"{folder}/{name}.json", json.dumps({"timestamp": time.strftime("%Y-%m-%dT%H:%M:%S"), **facts}, default=str).encode())
+
+
+def run_notes(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The notes of a folder, one row each."""
+    return spark.read.schema(schema).json(folder)
 
 
 def latest(df: DataFrame, name: str, at: str) -> DataFrame:
@@ -79,7 +83,18 @@ def latest(df: DataFrame, name: str, at: str) -> DataFrame:
     return df.agg(F.max_by(name, at).alias(name), F.max(at).alias(at))
 
 
-def jsonable(df: DataFrame) -> DataFrame:
-    """Each row as JSON text, arrays of plain values sorted, so that equal rows are equal text."""
-    cols = [F.array_sort(F.col(f.name)).alias(f.name) if f.dataType.simpleString() in ("array<string>", "array<int>", "array<bigint>") else F.col(f.name) for f in df.schema]
-    return df.select(F.to_json(F.struct(*cols)).alias("json"))
+def jsonable(df: DataFrame, sets: list[str] | None = None) -> DataFrame:
+    """Each row as JSON text in which equal rows are equal text: arrays that stand for sets
+    (all arrays of plain values unless named) are sorted by their text, images (binary)
+    become a mark."""
+
+    def plain(f: T.StructField) -> Column:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, T.BinaryType):
+            return F.when(c.isNotNull(), F.lit("<Image>")).alias(f.name)
+        if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.ArrayType, T.StructType, T.MapType)) and (sets is None or f.name in sets):
+            by_text = F.array_sort(F.transform(c, lambda x: F.struct(x.cast("string").alias("t"), x.alias("x"))))
+            return F.transform(by_text, lambda x: x["x"]).alias(f.name)
+        return c.alias(f.name)
+
+    return df.select(F.to_json(F.struct(*[plain(f) for f in df.schema])).alias("json"))

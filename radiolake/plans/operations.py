@@ -170,7 +170,7 @@ def context_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return m.groupBy("trajectory_id").agg(F.sum(budget.token_estimate(F.length(c), F.contains(c, F.lit("<Image>")).cast("int"))).alias("tokens"))
 
 
-@query("WITH c AS (SELECT * FROM (VALUES " + ", ".join("('" + n.replace("'", "''") + f"', {k}, '{c}', '{a}')" for n, k, c, a in CATALOG) + ") v(name, n_images, country, annotation_type)) SELECT annotation_type, count(*) AS datasets, CAST(sum(n_images) AS BIGINT) AS images, arg_max(name, n_images) AS largest FROM c GROUP BY annotation_type")
+@query("WITH c AS (SELECT * FROM (VALUES " + ", ".join("('" + n.replace("'", "''") + f"', {k}, '{c}', '{a}')" for n, k, c, _, a, *_ in CATALOG) + ") v(name, n_images, country, annotation_type)) SELECT annotation_type, count(*) AS datasets, CAST(sum(n_images) AS BIGINT) AS images, arg_max(name, n_images) AS largest FROM c GROUP BY annotation_type")
 def catalog_summary(spark: SparkSession, sf: str) -> DataFrame:
     return catalog(spark).groupBy("annotation_type").agg(F.count("*").alias("datasets"), F.sum("n_images").alias("images"), F.max_by("name", "n_images").alias("largest"))
 

@@ -6,10 +6,12 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "radiolake", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -78,6 +80,55 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; it is removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_removed, path)
+    return path
+
+
+def _file_system(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else os.path.abspath(path))
+
+
+def _removed(path: str) -> None:
+    try:
+        system, at = _file_system(path)
+        system.delete_dir(at)
+    except Exception:  # it may never have been made, or be gone already
+        pass
+
+
+def store(path: str, content: bytes) -> None:
+    """Write one file of any file system, whole or not at all for readers of listings."""
+    system, at = _file_system(path)
+    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(at) as out:
+        out.write(content)
+
+
+def fetch(path: str) -> bytes:
+    system, at = _file_system(path)
+    with system.open_input_stream(at) as f:
+        return f.read()
+
+
+def store_files(df: DataFrame, folder: str, name: str, content: str) -> DataFrame:
+    """Write each row's content (text or bytes) as the file folder/name, in the tasks; gives
+    the names and sizes. A task that runs again writes the same files again."""
+
+    def run(batches):
+        for b in batches:
+            data = [c.encode() if isinstance(c, str) else bytes(c) for c in b["_c"]]
+            for n, d in zip(b["_n"], data):
+                store(f"{folder}/{n}", d)
+            yield b[["_n"]].rename(columns={"_n": "name"}).assign(size=[len(d) for d in data])
+
+    return df.where(F.col(name).isNotNull() & F.col(content).isNotNull()).select(F.col(name).alias("_n"), F.col(content).alias("_c")).mapInPandas(run, "name string, size long")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from those files."""
     spark = df.sparkSession

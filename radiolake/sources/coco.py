@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename, dirname
-from ..operators.ranking import running_total
+from ..operators.ranking import id_ranges, running_total
 from ..runtime import path_exists
 
 DOCUMENT = """images array<struct<id: bigint, file_name: string, width: int, height: int>>,
@@ -102,9 +102,44 @@ def usable_path(c: Column) -> Column:
     return c.isNotNull() & (c != "None")
 
 
-def document(images: DataFrame, annotations: DataFrame, categories: DataFrame, file: str = "source_file") -> DataFrame:
-    """file, json: the tables as documents again, one per source file."""
-    i = images.groupBy(file).agg(F.sort_array(F.collect_list(F.struct("id", "file_name", "width", "height"))).alias("images"))
-    a = annotations.groupBy(file).agg(F.sort_array(F.collect_list(F.struct("id", "image_id", *KEYS))).alias("annotations"))
-    c = categories.agg(F.sort_array(F.collect_list(F.struct("id", "name"))).alias("categories"))
-    return i.join(a, file, "left").join(c).select(file, F.to_json(F.struct("images", F.coalesce("annotations", F.array()).alias("annotations"), "categories")).alias("json"))
+def document(images: DataFrame, annotations: DataFrame, categories: DataFrame, file: str = "source_file", most: int = 50_000) -> DataFrame:
+    """file, shard, json: the tables as documents again. A file with more than `most` images
+    goes on in further shards, each with its own images and their annotations, so what
+    one document holds is bounded by that and by its images' annotations. Categories are
+    in every document; they are few by their nature."""
+    numbered = running_total(images, [file], ["id"], F.lit(1), "_at", bucket=id_ranges(images, "id")).withColumn("shard", F.floor(F.col("_at") / most))
+    i = numbered.groupBy(file, "shard").agg(F.sort_array(F.collect_list(F.struct("id", "file_name", "width", "height"))).alias("images"))
+    placed = annotations.join(numbered.select(F.col("id").alias("image_id"), file, "shard"), ["image_id", file])
+    a = placed.groupBy(file, "shard").agg(F.sort_array(F.collect_list(F.struct("id", "image_id", *KEYS))).alias("annotations"))
+    c = categories.agg(F.sort_array(F.collect_list(F.struct("id", "name"))).alias("c")).scalar()
+    whole = i.join(a, [file, "shard"], "left").withColumn("categories", c)
+    return whole.select(file, "shard", F.to_json(F.struct("images", F.coalesce("annotations", F.array()).alias("annotations"), "categories")).alias("json"))
+
+
+def enumerated(documents: DataFrame, split: str) -> DataFrame:
+    """The documents of a split that number their teeth: the path tells of the split, and
+    the first annotation has quadrant and position."""
+    first = F.get("annotations", 0)
+    return documents.where(F.lower("path").contains(split[:3] if split == "validation" else split) & first["category_id_1"].isNotNull() & first["category_id_2"].isNotNull())
+
+
+def find_root(spark: SparkSession, candidates: list[str], split: str) -> str | None:
+    """The first folder that has the split's data folder and one of its documents, or None."""
+    train = split.startswith("train")
+    folder, names = ("training_data", ("train", "disease", "triple")) if train else ("validation_data", ("val", "validation_triple"))
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for c in candidates:
+        at = jvm.org.apache.hadoop.fs.Path(c)
+        system = at.getFileSystem(conf)
+        if not system.exists(at) or not system.getFileStatus(at).isDirectory():
+            continue
+        inside = [s.getPath().getName() for s in system.listStatus(at) if s.isDirectory()]
+        files = system.listFiles(at, True)
+        found = False
+        while files.hasNext() and not found:
+            name = files.next().getPath().getName()
+            found = name.endswith(".json") and any(n in name for n in names)
+        if found and any(folder in n for n in inside):
+            return c
+    return None

@@ -49,33 +49,54 @@ def training_log(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.col(f"`{c}`").cast("double").alias(c.strip()) for c in raw.columns])
 
 
-def last_epoch(log: DataFrame, epoch: str = "epoch") -> DataFrame:
-    return log.agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in log.columns]), epoch).alias("s")).select("s.*")
+def last_epoch(log: DataFrame, epoch: str = "epoch", by: list[str] | None = None) -> DataFrame:
+    """The row of the highest epoch, of each group if there are any."""
+    return log.groupBy(*(by or [])).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in log.columns]), epoch).alias("s")).select("s.*")
 
 
-def image_listing(spark: SparkSession, root: str, pattern: str = "*.{png,jpg,jpeg,bmp}") -> DataFrame:
-    """path, length and, from the bytes' head, the kind, width and height of image files.
-    Bytes that are no image give nulls. The header is read JVM-side."""
+def append_results(df: DataFrame, path: str) -> None:
+    """Results added to a log as they come: nothing that is there is written again."""
+    df.write.mode("append").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, schema: str, key: str, at: str) -> DataFrame:
+    """The latest result of each key of a log; a log that isn't there is empty."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    log = spark.read.schema(schema).parquet(path)
+    return log.groupBy(key).agg(F.max_by(F.struct(*[c for c in log.columns if c != key]), at).alias("_s")).select(key, "_s.*")
+
+
+def image_listing(spark: SparkSession, root: str, pattern: str = "*.{png,jpg,jpeg,bmp,gif}") -> DataFrame:
+    """path, length and, from the bytes' head, the kind, width, height and colour mode of
+    image files. Bytes that are no image give nulls."""
     from ..functions.images import header
 
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    kind, width, height = header(F.col("content"))
-    return f.select("path", "length", kind.alias("kind"), width.alias("width"), height.alias("height"))
+    return f.select("path", "length", header(F.col("content")).alias("h")).select("path", "length", "h.*")
 
 
-# Public datasets of panoramic films (name, images, country, annotations).
+# Public datasets of panoramic films (name, images, country, license, annotations, registration, address).
 CATALOG = [
-    ("DENTEX", 2332, "Switzerland", "label"),
-    ("Tufts Panoramic Dataset", 1000, "United States", "label"),
-    ("Dental Radiography", 1272, "Iran", "unspecified"),
-    ("Panoramic Dental Xray Dataset", 180, "Tunisia", "pixel level"),
-    ("Panoramic-Caries-Segmentation", 75, "China", "pixel level"),
-    ("TK_Tooth_Number_Code", 188, "unspecified", "label"),
-    ("Panoramic Dental X-rays With Segmented Mandibles", 232, "Iran", "pixel level"),
-    ("Panoramic-Paraguay", 135, "Paraguay", "unspecified"),
+    ("DENTEX", 2332, "Switzerland", "unspecified", "label", False, "https://zenodo.org/records/7812323"),
+    ("Tufts Panoramic Dataset", 1000, "United States", "unspecified", "label", True, "https://tdd.ece.tufts.edu/"),
+    ("Dental Radiography", 1272, "Iran", "CC BY-SA 4.0", "unspecified", False, "https://www.kaggle.com/datasets/imtkaggleteam/dental-radiography"),
+    ("Panoramic Dental Xray Dataset", 180, "Tunisia", "CC BY 4.0", "pixel level", False, "https://data.mendeley.com/datasets/73n3kz2k4k/2"),
+    ("Panoramic-Caries-Segmentation", 75, "China", "unspecified", "pixel level", False, "https://github.com/Zzz512/MLUA"),
+    ("TK_Tooth_Number_Code", 188, "unspecified", "unspecified", "label", False, "https://github.com/tanjidakabir/TK_Tooth_Number_Code"),
+    ("Panoramic Dental X-rays With Segmented Mandibles", 232, "Iran", "CC BY-NC 3.0", "pixel level", False, "https://data.mendeley.com/datasets/hxt48yk462/2"),
+    ("Panoramic-Paraguay", 135, "Paraguay", "unspecified", "unspecified", False, "https://zenodo.org/records/4457648"),
 ]
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    """The datasets that the loaders know of."""
-    return spark.createDataFrame(CATALOG, "name string, n_images int, country string, annotation_type string")
+    """The datasets that the loaders know of, all of panoramic films."""
+    rows = spark.createDataFrame(CATALOG, "name string, n_images int, country string, license string, annotation_type string, registration_required boolean, url string")
+    return rows.withColumn("modality", F.lit("panoramic")).withColumn("notes", F.lit(""))
+
+
+def catalog_lines(spark: SparkSession) -> DataFrame:
+    """A line to each dataset."""
+    need = F.when(F.col("registration_required"), "registration required").otherwise("no registration")
+    line = F.concat(F.lit("  - "), "name", F.lit(": "), F.col("n_images").cast("string"), F.lit(" images, "), "country", F.lit(", "), "license", F.lit(", "), need)
+    return catalog(spark).select(line.alias("line"))

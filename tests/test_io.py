@@ -32,7 +32,7 @@ def test_documents_to_tables_and_back(spark, documents, tmp_path):
     assert [tuple(r) for r in categories.collect()] == [(1, "Caries")]
     again = coco.load(spark, "/nowhere", "train", cache=str(tmp_path / "cache"))
     assert again[0].count() == 2
-    doc = {r[0]: json.loads(r[1]) for r in coco.document(*again).collect()}
+    doc = {r["source_file"]: json.loads(r["json"]) for r in coco.document(*again).collect()}
     assert len(doc) == 2 and all(len(x["images"]) == 1 and x["categories"] for x in doc.values())
     with pytest.raises(ValueError):
         coco.best(d.where("false"), "train")
@@ -101,8 +101,8 @@ def test_reports(spark, tmp_path):
     assert reports.label_lines(labels).first()["text"] == "1 0.250000 0.500000 0.100000 0.100000\n2 0.500000 0.500000 0.100000 0.100000"
     note = reports.dataset_note(spark, "/d")
     assert "0: '11'" in note and "31: '48'" in note
-    reports.run_note(str(tmp_path / "n.jsonl"), seed=1)
-    assert json.loads((tmp_path / "n.jsonl").read_text())["seed"] == 1
+    reports.run_note(str(tmp_path / "n"), "one", seed=1)
+    assert json.loads((tmp_path / "n/one.json").read_text())["seed"] == 1
     reports.failure_log(spark.createDataFrame([("a", 1)], "category string, n int"), str(tmp_path / "f"))
     assert spark.read.json(str(tmp_path / "f")).count() == 1
     marks = spark.createDataFrame([("a", 2), ("z", 1)], "tag string, at int")
@@ -114,9 +114,45 @@ def test_settings(tmp_path):
     (tmp_path / "a.json").write_text('{"seed": 1, "data": {"split": "val"}}')
     (tmp_path / "b.json").write_text('{"data": {"folds": 3}}')
     c = config.load(str(tmp_path / "a.json"), str(tmp_path / "b.json"))
-    assert (c.seed, c.data.split, c.data.folds, c.weights.accuracy) == (1, "val", 3, 0.5)
+    assert (c.seed, c.data.split, c.data.folds, c.training.reward_weights.accuracy) == (1, "val", 3, 1.0)
     (tmp_path / "c.json").write_text('{"nothing": 1}')
     with pytest.raises(ValueError):
         config.load(str(tmp_path / "c.json"))
     (tmp_path / ".env").write_text("# no\nRADIOLAKE_TEST='x'\n")
     assert config.load_env(str(tmp_path / ".env")) == {"RADIOLAKE_TEST": "x"}
+
+
+def test_documents_in_shards(spark):
+    images = spark.createDataFrame([(i, f"{i}.png", 1, 1, "f.json") for i in range(25)], "id long, file_name string, width int, height int, source_file string")
+    annotations = spark.createDataFrame([(i, i % 25, 0, 0, 0, [1.0], "f.json") for i in range(60)], "id long, image_id long, category_id_1 int, category_id_2 int, category_id_3 int, bbox array<double>, source_file string")
+    docs = [json.loads(r["json"]) for r in coco.document(images, annotations, spark.createDataFrame([(1, "a")], "id int, name string"), most=10).collect()]
+    assert sorted(len(d["images"]) for d in docs) == [5, 10, 10] and sum(len(d["annotations"]) for d in docs) == 60
+    assert all({a["image_id"] for a in d["annotations"]} <= {i["id"] for i in d["images"]} for d in docs)
+
+
+def test_results_are_kept_once(spark, tmp_path):
+    path, schema = str(tmp_path / "results"), "k long, v int, at int"
+    assert logs.read_results(spark, path, schema, "k", "at").count() == 0
+    for rows in ([(1, 1, 1), (2, 1, 1)], [(1, 2, 2)], [(2, 1, 1)]):
+        logs.append_results(spark.createDataFrame(rows, schema), path)
+    assert sorted(tuple(r) for r in logs.read_results(spark, path, schema, "k", "at").select("k", "v").collect()) == [(1, 2), (2, 1)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://far:7077"
+
+        def getConf(self):
+            return self
+
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = sparkContext = Context()
+
+    from radiolake import runtime
+
+    with pytest.raises(RuntimeError):
+        runtime.shared_folder(Session())
+    assert runtime.path_exists(spark, "/tmp") and not runtime.path_exists(spark, "/tmp/no/such/folder")

@@ -163,6 +163,53 @@ def test_histogram_and_describe(spark):
     assert stats.diagnosis_column(["a", "category_id"]) == "category_id" and stats.diagnosis_column([]) is None
 
 
+def test_quantiles_against_numpy(spark):
+    """Brackets far narrower than the data, ties, nulls, a constant, and a column without values."""
+    rng = np.random.default_rng(4)
+    rows = [(float(rng.normal()), float(rng.integers(0, 3)), 7.0, None) for _ in range(5000)] + [(None, None, None, None)] * 20
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(8)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.975, 1.0]
+    got = {(r["name"], r["p"]): r["value"] for r in stats.quantiles(df, {c: F.col(c) for c in "abcd"}, probs, accuracy=200).collect()}
+    want = {(c, p): float(np.quantile([r[i] for r in rows if r[i] is not None], p)) for i, c in enumerate("abc") for p in probs}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert stats.quantiles(df.limit(0), {"a": F.col("a")}, probs).count() == 0
+    assert stats.describe(df.where("a is null"), F.col("a")).first()["n"] == 0
+
+
+def test_lists_of_a_hot_key(spark):
+    df = spark.createDataFrame([(1, i) for i in range(57)] + [(2, 5), (None, 1)], "k int, i long").repartition(7)
+    rows = stats.bounded_lists(df, ["k"], ["i"], F.col("i"), "v", 10).collect()
+    assert {(r["k"], r["part"]): list(r["v"]) for r in rows} == {(1, p): list(range(57))[p * 10 : p * 10 + 10] for p in range(6)} | {(2, 0): [5], (None, 0): [1]}
+
+
+def test_resampling_of_any_metric(spark):
+    df = spark.createDataFrame([(i, float(i % 2), 1.0) for i in range(50)] + [(None, 1.0, 1.0), (99, None, 1.0)], "i long, a double, b double")
+    one = metrics.bootstrap(df, "i", {"a": F.col("a"), "b": F.col("b")}, lambda s: s["a"] / s["b"], 300, 1).first()
+    assert tuple(one) == tuple(metrics.bootstrap_mean(df, "i", F.col("a"), 300, 1).first()) and one["n"] == 50
+    empty = metrics.bootstrap_mean(df.limit(0), "i", F.col("a"), 300, 1).first()
+    assert (empty["n"], empty["point"]) == (0, None)
+
+
+def test_key_pool(spark):
+    df = spark.createDataFrame([(i, i * 1_000_000) for i in range(40)], "i long, t long").repartition(3)
+    rows = limits.round_robin(df, "t", ["i"], keys=3, per_minute=10, per_day=5).collect()
+    assert {(r["key"], r["calls"], r["over_cap"], r["waited"]) for r in rows} == {(0, 14, 10, 13), (1, 13, 9, 12), (2, 13, 9, 12)}
+
+
+def test_hints_and_hooks(spark):
+    gt = "g array<struct<quadrant int, tooth_position int, bbox array<double>>>"
+    df = spark.createDataFrame([([(1, 6, None), (1, 6, [1.0]), (1, 6, [2.0]), None],), ([],), (None,)], gt)
+    assert [r[0] for r in df.select(scoring.box_hint(F.col("g"), F.lit(16))).collect()] == [[1.0], None, None]
+    assert df.select(scoring.box_hint(F.col("g"), F.lit(6))).first()[0] is None
+    got = traces.run_agent(spark.createDataFrame([(1, 5), (2, 6)], "k long, x long"), "k", lambda b: b["x"] * 2, "long")
+    assert sorted(map(tuple, got.collect())) == [(1, 10), (2, 12)]
+    judged = spark.createDataFrame([(True,), (None,), (False,), (True,)], "grounded boolean")
+    assert tuple(traces.grounding_rate(judged).first()) == (4, 2, 0.5) and tuple(traces.grounding_rate(judged.limit(0)).first()) == (0, 0, 0.0)
+    e = traces.examples(spark.createDataFrame([(1, None, ["a", None, "b"]), (2, 7, None)], "k int, image long, x array<string>"), "k", "image", "x", lambda x: x)
+    assert [(r["i"], r["target"], "unknown" in r["prompt"]) for r in e.collect()] == [(0, "a", True), (2, "b", True)]
+    assert np.allclose([r[0] for r in spark.range(3, 7).select(scoring.overrun_penalty(F.col("id"))).collect()], [0, 0, -0.1, -0.2])
+
+
 def test_calibration_edges(spark):
     rows = [(0.0, 1), (0.1, 0), (0.3, 1), (1.0, 1), (0.95, 0), (None, 1)]
     df = spark.createDataFrame(rows, "c double, ok int")
@@ -236,6 +283,8 @@ def test_registry(spark):
     assert spark.range(1).select(r.execute("fdi_label", F.lit(3), F.lit(6))).first()[0] == "36"
     with pytest.raises(KeyError):
         r.execute("none")
+    df = spark.createDataFrame([("fdi_label",), ("none",), (None,)], "t string")
+    assert [x[0] for x in df.select(r.dispatch(F.col("t"), {"fdi_label": (F.lit(1), F.lit(8))})).collect()] == ["18", None, None]
 
 
 def test_advantage_of_a_group(spark):

@@ -11,7 +11,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import DATA
-from radiolake.llm import overlap
 from radiolake.operators import metrics
 from radiolake.plans import CORE_QUERIES, evaluation
 
@@ -129,7 +128,7 @@ def test_bootstrap_of_all_replicates(spark, name, replicates, seed):
         same = lambda a, b: a is not None and a == b
         pairs = evaluation.first_pairs(spark, sf).select("record_id", "pr", "tr").collect()
         rows = [(r["record_id"], float(bool(r["pr"] and same(r["pr"]["quadrant"], r["tr"]["quadrant"]) and same(r["pr"]["tooth_position"], r["tr"]["tooth_position"]) and same(clean(r["pr"]["diagnosis"]), clean(r["tr"]["diagnosis"]))))) for r in pairs]
-    got = tuple(CORE_QUERIES[name](spark, sf).first())
+    got = tuple(CORE_QUERIES[name](spark, sf).select("n", "point", "low", "high").first())
     assert got == pytest.approx(poisson_interval(rows, replicates, seed), abs=2e-6)
     assert got[2] <= got[1] <= got[3] and got[2] < got[3]
 
@@ -152,16 +151,3 @@ def test_image_basenames_of_the_whole_table(spark):
     want = {i: posixpath.basename(n.replace("\\", "/")) for i, n in latest("file_name").items() if n is not None}
     got = dict(tuple(r) for r in CORE_QUERIES["image_basenames"](spark, f"{DATA}/sf0.01").collect())
     assert any("\\" in n for n in latest("file_name").values() if n) and {i: got.get(i) for i in want} == want
-
-
-def test_slips_in_short_names(spark):
-    train = ["image_0012.png", "img13.png", "pan_7.png", "a.png", "0012.png", "scan_1.png"]
-    evaluated = ["iamge_12.png", "imgg13.png", "imag_0012.png", "img12.png", "pann_8.png", "b.png", "0013.png", "pan_07.jpg", "sacn_1.png", "scna_2.png"]
-    rows = [(i, n, 10, 20, f"data/{'t' if n in train else 'v'}.json") for i, n in enumerate([*train, *evaluated])]
-    images = spark.createDataFrame(rows, "id long, file_name string, width int, height int, source_file string")
-    files = spark.createDataFrame([("data/t.json", "train"), ("data/v.json", "validation")], "source_file string, split string")
-    names = overlap.split_names(images, files)
-    by_id = {r[0]: r[1] for r in rows}
-    got = {(by_id[r["t_id"]], by_id[r["e_id"]]) for r in overlap.overlaps(names).collect()}
-    assert got == {("image_0012.png", "iamge_12.png"), ("image_0012.png", "imag_0012.png"), ("img13.png", "imgg13.png"), ("pan_7.png", "pan_07.jpg"), ("scan_1.png", "sacn_1.png")}
-    assert {by_id[r["e_id"]] for r in overlap.leaked(names).collect()} == {e for _, e in got}
