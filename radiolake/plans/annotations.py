@@ -226,6 +226,10 @@ def tooth_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return annots(spark, sf).select("id", told.alias("told")).select("id", q.alias("quadrant"), p.alias("position"), why.alias("why"))
 
 
+# Rounded half up as the number is written, not as it is stored.
+_TENTH = "round(CAST(CAST({} AS VARCHAR) AS DECIMAL(38, 17)), 1)::DOUBLE"
+
+
 def _box() -> geometry.Box:
     return geometry.Box(*[F.col(c) for c in "xywh"])
 
@@ -268,11 +272,11 @@ def zoom_window(spark: SparkSession, sf: str) -> DataFrame:
     return boxed(spark, sf).select("id", "image_id", *[F.round(c, 6).alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), z)])
 
 
-@query(f"""WITH {ANNOTS}, {IMAGES}, b AS (SELECT a.id, a.image_id, a.bbox, i.width, i.height, a.bbox[1] AS x, a.bbox[2] AS y, a.bbox[3] AS w, a.bbox[4] AS h, ((a.id % 7) - 3) * 0.25 AS dx, ((a.id % 5) - 2) * 0.5 AS dy, greatest(0.1, (a.id % 4) * 0.75) AS s
+@query(f"""WITH {ANNOTS}, {IMAGES}, b AS (SELECT a.id, a.image_id, a.bbox, i.width, i.height, a.bbox[1] AS x, a.bbox[2] AS y, a.bbox[3] AS w, a.bbox[4] AS h, ((a.id % 7) - 3) * 0.25::DOUBLE AS dx, ((a.id % 5) - 2) * 0.5::DOUBLE AS dy, greatest(0.1::DOUBLE, (a.id % 4) * 0.75::DOUBLE) AS s
         FROM a JOIN i ON i.id = a.image_id WHERE i.width IS NOT NULL AND i.height IS NOT NULL),
     e AS (SELECT *, CASE WHEN bbox IS NULL OR len(bbox) <> 4 OR x IS NULL OR y IS NULL OR w IS NULL OR h IS NULL THEN 'the box must be x, y, w, h' WHEN w <= 0 OR h <= 0 THEN 'width and height must be positive' END AS error, least(w * s, width) AS nw, least(h * s, height) AS nh FROM b)
-    SELECT id, image_id, error, CASE WHEN error IS NULL THEN round(greatest(0.0, least(x + w / 2 + dx * w - nw / 2, width - nw)), 1) END AS x, CASE WHEN error IS NULL THEN round(greatest(0.0, least(y + h / 2 + dy * h - nh / 2, height - nh)), 1) END AS y,
-        CASE WHEN error IS NULL THEN round(nw, 1) END AS w, CASE WHEN error IS NULL THEN round(nh, 1) END AS h FROM e""")
+    SELECT id, image_id, error, CASE WHEN error IS NULL THEN {_TENTH.format('greatest(0.0, least(x + w / 2 + dx * w - nw / 2, width - nw))')} END AS x, CASE WHEN error IS NULL THEN {_TENTH.format('greatest(0.0, least(y + h / 2 + dy * h - nh / 2, height - nh))')} END AS y,
+        CASE WHEN error IS NULL THEN {_TENTH.format('nw')} END AS w, CASE WHEN error IS NULL THEN {_TENTH.format('nh')} END AS h FROM e""")
 def nudge(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes shifted and rescaled by amounts that vary with the id; bad boxes give the reason."""
     i = images(spark, sf).where("width is not null and height is not null").select(F.col("id").alias("image_id"), "width", "height")
@@ -296,8 +300,6 @@ def hflip(spark: SparkSession, sf: str) -> DataFrame:
     return boxed(spark, sf).select("id", "image_id", *[c.alias(n) for n, c in zip("xywh", b)], fdi.flipped(F.col("q")).alias("quadrant"))
 
 
-# Rounded half up as the number is written, not as it is stored.
-_TENTH = "round(CAST(CAST({} AS VARCHAR) AS DECIMAL(38, 17)), 1)::DOUBLE"
 _DETECTED = f"""d AS (SELECT *, ({mixed_sql('id', 7)} % 1000) / 1000.0 AS score FROM b),
     r AS (SELECT *, row_number() OVER (PARTITION BY image_id, q, p ORDER BY score DESC, id, x, y, w, h) AS rn FROM d WHERE score >= 0.25),
     c AS (SELECT *, x + w / 2 AS cx, y + h / 2 AS cy FROM r WHERE rn = 1),

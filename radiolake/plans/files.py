@@ -212,11 +212,13 @@ def failure_files(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("record_id long, category string").json(path).groupBy("category").agg(F.count("*").alias("n"))
 
 
+# Rounded half up as the number is written, not as it is stored.
+_SIXTH = "round(CAST(CAST({} AS VARCHAR) AS DECIMAL(38, 17)), 6)"
 _CLIP = "least(greatest({}, 0.0), 1.0)"
 _YOLO = [_CLIP.format(e) for e in ("(x + w / 2) / width", "(y + h / 2) / height", "w / width", "h / height")]
 
 
-@query(f"""WITH {BOXED} SELECT image_id || '.txt' AS name, count(*) AS boxes, CAST(sum((q - 1) * 8 + p - 1) AS BIGINT) AS classes, round(sum(round({_YOLO[0]}, 6)), 4) AS cx, round(sum(round({_YOLO[3]}, 6)), 4) AS nh FROM b WHERE q BETWEEN 1 AND 4 AND p BETWEEN 1 AND 8 GROUP BY image_id""")
+@query(f"""WITH {BOXED} SELECT image_id || '.txt' AS name, count(*) AS boxes, CAST(sum((q - 1) * 8 + p - 1) AS BIGINT) AS classes, round(sum({_SIXTH.format(_YOLO[0])})::DOUBLE, 6) AS cx, round(sum({_SIXTH.format(_YOLO[3])})::DOUBLE, 6) AS nh FROM b WHERE q BETWEEN 1 AND 4 AND p BETWEEN 1 AND 8 GROUP BY image_id""")
 def label_files(spark: SparkSession, sf: str) -> DataFrame:
     """A label file to each image, read back and added up."""
     folder = scratch(spark, "labels")
@@ -226,7 +228,7 @@ def label_files(spark: SparkSession, sf: str) -> DataFrame:
     store_files(text, folder, "n", "text").agg(F.count("*")).collect()
     lines = spark.read.text(folder).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.split("value", " ").alias("v"))
     v = lambda i, t="double": F.col("v")[i].cast(t)
-    return lines.groupBy("name").agg(F.count("*").alias("boxes"), F.sum(v(0, "bigint")).alias("classes"), F.round(F.sum(v(1)), 4).alias("cx"), F.round(F.sum(v(4)), 4).alias("nh"))
+    return lines.groupBy("name").agg(F.count("*").alias("boxes"), F.sum(v(0, "bigint")).alias("classes"), F.round(F.sum(v(1)), 6).alias("cx"), F.round(F.sum(v(4)), 6).alias("nh"))
 
 
 @query("SELECT '  ' || i || ': ''' || (i // 8 + 1) || (i % 8 + 1) || '''' AS line FROM range(32) t(i)")
