@@ -52,6 +52,18 @@ def test_edges(spark):
     check(spark, [(1, 5, 30)], [(5, None, None)])
 
 
+def test_one_instant_for_all(spark):
+    """References of one key that fall on one instant, or on none, are asked once."""
+    check(spark, [(i, 1, 5 if i % 2 else None) for i in range(300)] + [(300, 2, None), (301, 2, 5)], [(1, 0, 5), (1, 6, None)])
+
+
+def test_found_rows_come_through_the_cascade(spark):
+    from radiolake.plans.data_quality import p2_found
+
+    plan = p2_found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "orphan in images_df" in plan
+
+
 def test_hot_key(spark):
     check(spark, [(i, 1 if i % 3 else i, i % 900) for i in range(1500)], [(1, i, i + 1) for i in range(0, 900, 3)])
 
