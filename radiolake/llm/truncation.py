@@ -134,12 +134,22 @@ def _last_gram() -> list[Column]:
 
 def _evidence(counts: DataFrame, asked: DataFrame, context: list[str], k: int) -> DataFrame:
     """For each asked (context, t3): e{k} bare endings, x{k} all other occurrences,
-    counting longer words that begin with t3 among the latter."""
+    counting longer words that begin with t3 among the latter.
+
+    Longer words are found from the endings asked for: a word is cut to the lengths
+    only that endings of its context and first letter have, so a word without blanks,
+    however long, gives no more rows than there are such lengths.
+    """
+    head = F.substring("t3", 1, 2).alias("_h")
+    lengths = asked.groupBy(*context, head).agg(F.collect_set(F.length("t3")).alias("_n"))
     near = counts.join(asked.select(*context).distinct(), context, "left_semi")
-    own = near.select(*context, "t3", "bare", F.col("other"))
-    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t3") - 1, F.lit(1))), lambda i: F.substring("t3", F.lit(1), i))
-    longer = near.where(F.length("t3") > 1).select(*context, F.explode(cuts).alias("t3"), F.lit(0).alias("bare"), (F.col("bare") + F.col("other")).alias("other"))
-    both = own.unionByName(longer).groupBy(*context, "t3").agg(F.sum("bare").alias(f"e{k}"), F.sum("other").alias(f"x{k}"))
+    own = near.select(*context, "t3", "bare", "other")
+    # An ending of one letter asks for all words of its letter, longer ones for those of their first two.
+    first = asked.where(F.length("t3") == 1).select(*context, F.col("t3").alias("_h")).distinct()
+    short = near.where(F.length("t3") > 1).withColumn("_h", F.substring("t3", 1, 1)).join(first, [*context, "_h"], "left_semi").select(*context, F.col("_h").alias("t3"), F.lit(0).alias("bare"), (F.col("bare") + F.col("other")).alias("other"))
+    cuts = near.where(F.length("t3") > 2).withColumn("_h", F.substring("t3", 1, 2)).join(lengths, [*context, "_h"])
+    longer = cuts.select(*context, F.explode(F.filter("_n", lambda n: (n > 1) & (n < F.length("t3")))).alias("_c"), "t3", "bare", "other").select(*context, F.substring("t3", F.lit(1), F.col("_c")).alias("t3"), F.lit(0).alias("bare"), (F.col("bare") + F.col("other")).alias("other"))
+    both = own.unionByName(short).unionByName(longer).join(asked.select(*context, "t3").distinct(), [*context, "t3"], "left_semi").groupBy(*context, "t3").agg(F.sum("bare").alias(f"e{k}"), F.sum("other").alias(f"x{k}"))
     return asked.join(both, [*context, "t3"], "left")
 
 
@@ -151,7 +161,8 @@ def judge(texts: DataFrame, key: list[str], kind: str) -> DataFrame:
     cover all texts; repeated rows should be dropped before. Null and blank texts give
     no row.
     """
-    # Written once: the automaton and the word counts are read by several branches.
+    # Written once, with the texts: the automaton, which is the dear part, and the word counts
+    # are read by several branches.
     seen = cut_lineage(shapes(texts.select(*key, F.col(kind).alias("kind"), "source", "text")))
     sure = seen.where("shape <> 'word'").select(*key, "source", "shape", F.col("shape").isin("marked", "open", "dangling").alias("cut"))
     grams = _grams(seen.where("shape in ('word', 'stop', 'dangling')")).groupBy("kind", "t1", "t2", "t3")

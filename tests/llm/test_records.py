@@ -161,3 +161,25 @@ def test_overlaps(spark):
     assert {(r["t_id"], r["e_id"]) for r in overlap.overlaps(names).collect()} == {(1, 2), (1, 5), (10, 11), (10, 12)}
     assert {r["e_id"] for r in overlap.leaked(names).collect()} == {2, 5, 11, 12}
     assert overlap.overlaps(names.where("false")).count() == 0
+
+
+def test_slips_in_short_names(spark):
+    train = ["image_0012.png", "img13.png", "pan_7.png", "a.png", "0012.png", "scan_1.png"]
+    evaluated = ["iamge_12.png", "imgg13.png", "imag_0012.png", "img12.png", "pann_8.png", "b.png", "0013.png", "pan_07.jpg", "sacn_1.png", "scna_2.png"]
+    rows = [(i, n, 10, 20, f"data/{'t' if n in train else 'v'}.json") for i, n in enumerate([*train, *evaluated])]
+    images = spark.createDataFrame(rows, "id long, file_name string, width int, height int, source_file string")
+    files = spark.createDataFrame([("data/t.json", "train"), ("data/v.json", "validation")], "source_file string, split string")
+    names = overlap.split_names(images, files)
+    by_id = {r[0]: r[1] for r in rows}
+    got = {(by_id[r["t_id"]], by_id[r["e_id"]]) for r in overlap.overlaps(names).collect()}
+    assert got == {("image_0012.png", "iamge_12.png"), ("image_0012.png", "imag_0012.png"), ("img13.png", "imgg13.png"), ("pan_7.png", "pan_07.jpg"), ("scan_1.png", "sacn_1.png")}
+    assert {by_id[r["e_id"]] for r in overlap.leaked(names).collect()} == {e for _, e in got}
+
+
+def test_copies_are_no_pairs(spark):
+    """A name with many copies on both sides is one class and one link."""
+    rows = [(i, f"opg_abcdefg_{7:0{3 + i % 3}d}.png", 10, 20, f"data/{'t' if i % 2 else 'v'}.json") for i in range(40)] + [(99, "opg_abcdefg_007.png", 11, 20, "data/v.json")]
+    images = spark.createDataFrame(rows, "id long, file_name string, width int, height int, source_file string")
+    files = spark.createDataFrame([("data/t.json", "train"), ("data/v.json", "validation")], "source_file string, split string")
+    linked, own = overlap.related(overlap.split_names(images, files))
+    assert linked.count() == 1 and own.count() == 41 and own.select("name_id").distinct().count() == 2

@@ -82,15 +82,33 @@ def test_shares_and_repeats(spark):
     for s, share in (("a", 0.5), ("b", 0.3), ("c", 0.15)):
         assert abs(rep[s]["reached_share"] - share / 0.95) < 0.03
     assert rep["absent"]["tokens"] == 0 and "unnamed" not in rep
+    assert all(r["repeats_kept"] for r in mixing.kept(mixing.shares(mixed, goal), goal, 0.03).collect()) and all(r["share_kept"] for r in mixing.kept(mixing.shares(mixed, goal), goal, 0.03).collect())
     assert sorted((r["shard"], r["slot"]) for r in rows) == sorted((r["shard"], r["slot"]) for r in mixing.mix(t.repartition(5), "doc", "src", "ids", goal, block=16).collect())
     assert mixing.mix(t.where("false"), "doc", "src", "ids", goal).count() == 0
 
 
-def test_plan_draws_add_up():
+def test_plan():
     have, want = {"a": (10_000, 100), "b": (500, 5)}, {"a": (0.5, 1), "b": (0.5, 20), "c": (0.2, 1)}
-    counts, names, repeats = mixing.plan(have, want, 3, shard_blocks=16)
-    assert names == ["a", "b"] and counts.sum(0).tolist() == [100, 100] and repeats == {"a": 1, "b": 20}
-    assert (counts.sum(1)[:-1] == 16).all()
+    names, shares, slots = mixing.plan(have, want)
+    assert names == ["a", "b"] and slots.tolist() == [100, 100] and shares.tolist() == [0.5, 0.5]
+    assert mixing.plan(have, want, size=2000)[2].tolist() == [10, 10] and mixing.plan({}, want)[0] == []
+
+
+def test_draws_are_multinomial_and_settle(spark):
+    """Each shard's draw is its own; all together are put right to the last slot."""
+    shares, wanted = np.array([0.6, 0.3, 0.1]), np.array([603, 297, 100])
+    rows = mixing.draw(spark, shares, 1000, 5, shard_blocks=64).collect()
+    by_shard, drawn = Counter(), np.zeros(3, np.int64)
+    for r in sorted(rows, key=lambda r: (r["j"], r["shard"])):
+        by_shard[r["shard"]] += r["n"]
+        assert r["start"] == drawn[r["j"]]
+        drawn[r["j"]] += r["n"]
+    assert [by_shard[i] for i in range(16)] == [64] * 15 + [40] and all(drawn[r["j"]] == r["drawn"] for r in rows)
+    j = np.repeat(np.arange(3), drawn)
+    i = np.concatenate([np.arange(n) for n in drawn])
+    to, number = mixing.settled(j, i, drawn, wanted)
+    assert sorted(zip(to.tolist(), number.tolist())) == [(s, k) for s in range(3) for k in range(wanted[s])]
+    assert (to != j).sum() == np.maximum(drawn - wanted, 0).sum() < 60
 
 
 @pytest.mark.parametrize(
@@ -119,6 +137,27 @@ def test_judged_by_the_corpus(spark):
     assert truncation.judge(df.where("false"), ["id", "kind_of"], "kind_of").count() == 0
 
 
+def brute_evidence(counts, asked, width):
+    out = {}
+    for a in asked:
+        context, end = a[:width], a[width]
+        mine = [(t, b, o) for *c, t, b, o in counts if tuple(c) == context]
+        e, x = sum(b for t, b, _ in mine if t == end), sum(o for t, _, o in mine if t == end)
+        x += sum(b + o for t, b, o in mine if t != end and t.startswith(end))
+        out[a] = (e, x)
+    return out
+
+
+def test_evidence_against_brute_force(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abä") for _ in range(rnd.randrange(1, 7)))
+    seen = {(rnd.choice("xy"), word()): (rnd.randrange(4), rnd.randrange(5)) for _ in range(300)}
+    counts = [(c, t, b, o) for (c, t), (b, o) in seen.items()] + [("x", "a" * 50_000, 1, 1)]
+    asked = list({(rnd.choice("xyz"), word()) for _ in range(120)} | {("x", "a"), ("x", "aa")})
+    got = truncation._evidence(spark.createDataFrame(counts, "kind string, t3 string, bare long, other long"), spark.createDataFrame(asked, "kind string, t3 string"), ["kind"], 1).collect()
+    assert {(r["kind"], r["t3"]): (r["e1"] or 0, r["x1"] or 0) for r in got} == brute_evidence(counts, asked, 1)
+
+
 def test_label_model_recovers_planted_labels():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.03
