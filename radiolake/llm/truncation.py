@@ -140,17 +140,15 @@ def _evidence(counts: DataFrame, asked: DataFrame, context: list[str], k: int) -
     only that endings of its context and first letter have, so a word without blanks,
     however long, gives no more rows than there are such lengths.
     """
+    asked = asked.select(*context, "t3").distinct()
     head = F.substring("t3", 1, 2).alias("_h")
-    lengths = asked.groupBy(*context, head).agg(F.collect_set(F.length("t3")).alias("_n"))
-    near = counts.join(asked.select(*context).distinct(), context, "left_semi")
-    own = near.select(*context, "t3", "bare", "other")
     # An ending of one letter asks for all words of its letter, longer ones for those of their first two.
-    first = asked.where(F.length("t3") == 1).select(*context, F.col("t3").alias("_h")).distinct()
-    short = near.where(F.length("t3") > 1).withColumn("_h", F.substring("t3", 1, 1)).join(first, [*context, "_h"], "left_semi").select(*context, F.col("_h").alias("t3"), F.lit(0).alias("bare"), (F.col("bare") + F.col("other")).alias("other"))
-    cuts = near.where(F.length("t3") > 2).withColumn("_h", F.substring("t3", 1, 2)).join(lengths, [*context, "_h"])
-    longer = cuts.select(*context, F.explode(F.filter("_n", lambda n: (n > 1) & (n < F.length("t3")))).alias("_c"), "t3", "bare", "other").select(*context, F.substring("t3", F.lit(1), F.col("_c")).alias("t3"), F.lit(0).alias("bare"), (F.col("bare") + F.col("other")).alias("other"))
-    both = own.unionByName(short).unionByName(longer).join(asked.select(*context, "t3").distinct(), [*context, "t3"], "left_semi").groupBy(*context, "t3").agg(F.sum("bare").alias(f"e{k}"), F.sum("other").alias(f"x{k}"))
-    return asked.join(both, [*context, "t3"], "left")
+    lengths = asked.where(F.length("t3") > 1).groupBy(*context, head).agg(F.collect_set(F.length("t3")).alias("_n")).unionByName(asked.where(F.length("t3") == 1).select(*context, F.col("t3").alias("_h"), F.array(F.lit(1)).alias("_n")))
+    heads = F.explode(F.array_distinct(F.array(F.substring("t3", 1, 1), F.substring("t3", 1, 2)))).alias("_h")
+    longer = counts.where(F.length("t3") > 1).select(*context, "t3", (F.col("bare") + F.col("other")).alias("other"), heads).join(lengths, [*context, "_h"])
+    longer = longer.select(*context, F.explode(F.filter("_n", lambda n: n < F.length("t3"))).alias("_c"), "t3", "other").select(*context, F.substring("t3", F.lit(1), F.col("_c")).alias("t3"), F.lit(0).alias("bare"), "other")
+    both = counts.select(*context, "t3", "bare", "other").unionByName(longer).join(asked, [*context, "t3"], "left_semi")
+    return both.groupBy(*context, "t3").agg(F.sum("bare").alias(f"e{k}"), F.sum("other").alias(f"x{k}"))
 
 
 def judge(texts: DataFrame, key: list[str], kind: str) -> DataFrame:
@@ -170,8 +168,10 @@ def judge(texts: DataFrame, key: list[str], kind: str) -> DataFrame:
     bi = tri.groupBy("kind", "t2", "t3").agg(F.sum("bare").alias("bare"), F.sum("other").alias("other"))
     uni = tri.groupBy("kind", "t3").agg(F.sum("bare").alias("bare"), F.sum("other").alias("other"))
     ends = seen.where("shape = 'word'").select(*key, "kind", "source", "shape", *_last_gram())
-    asked = ends.select("kind", "t1", "t2", "t3").distinct()
-    known = _evidence(uni, _evidence(bi, _evidence(tri, asked, ["kind", "t1", "t2"], 3), ["kind", "t2"], 2), ["kind"], 1)
+    asked = cut_lineage(ends.select("kind", "t1", "t2", "t3").distinct())
+    known = asked
+    for counts, context, k in ((tri, ["kind", "t1", "t2"], 3), (bi, ["kind", "t2"], 2), (uni, ["kind"], 1)):
+        known = known.join(_evidence(counts, asked, context, k), [*context, "t3"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     share = F.lit(None).cast("double")
     for k in (1, 2, 3):

@@ -155,7 +155,9 @@ def test_evidence_against_brute_force(spark):
     counts = [(c, t, b, o) for (c, t), (b, o) in seen.items()] + [("x", "a" * 50_000, 1, 1)]
     asked = list({(rnd.choice("xyz"), word()) for _ in range(120)} | {("x", "a"), ("x", "aa")})
     got = truncation._evidence(spark.createDataFrame(counts, "kind string, t3 string, bare long, other long"), spark.createDataFrame(asked, "kind string, t3 string"), ["kind"], 1).collect()
-    assert {(r["kind"], r["t3"]): (r["e1"] or 0, r["x1"] or 0) for r in got} == brute_evidence(counts, asked, 1)
+    want = brute_evidence(counts, asked, 1)
+    have = {(r["kind"], r["t3"]): (r["e1"], r["x1"]) for r in got}
+    assert have.keys() <= want.keys() and all(have.get(a, (0, 0)) == w for a, w in want.items())
 
 
 def test_label_model_recovers_planted_labels():
