@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import io
 import json
 import re
 import unicodedata
@@ -13,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import cut_lineage, fetch, path_exists, shared_folder, store
+from . import gru
 from .bpe import spread
 from .gru import ByteTagger, train
 
@@ -37,9 +42,15 @@ SAMPLE_PER_LANGUAGE = 300
 #: Segments per labelled document that are learnt from, and characters of a segment.
 SEGMENTS_PER_DOCUMENT = 12
 STEPS = (200, 340)
-#: A further language needs a sentence with this probability and this many letters.
+HIDDEN = 32
+#: Letters of a labelled document that are brought to the driver.
+SAMPLE_LETTERS = 4000
+#: A further language needs a whole sentence with this probability.
 SENTENCE_SURE = 0.95
-SENTENCE_LETTERS = 14
+#: Documents that must have a sentence before their languages count for it, and the share
+#: of them that must agree.
+COMPANY = 5
+AGREED = 0.75
 #: Weight of a document's other sentences in a sentence's prior; the rest is even.
 OTHERS = 0.95
 #: Segments whose probabilities a worker remembers; only speed depends on it.
@@ -75,8 +86,9 @@ def _unwrapped(text: str) -> str:
             out.append("\n" + "\n".join(_texts(value)) + "\n")
             at = end
         except (ValueError, RecursionError):
-            out.append("\n" + "\n".join(x.replace("\\n", "\n").replace('\\"', '"') for x in _THOUGHT.findall(text[m.start() :])) + "\n")
-            at = len(text)
+            # Damaged: the texts in it count up to the end of its line, and reading goes on behind.
+            at = text.find("\n", m.start()) if "\n" in text[m.start() :] else len(text)
+            out.append("\n" + "\n".join(x.replace("\\n", "\n").replace('\\"', '"') for x in _THOUGHT.findall(text[m.start() : at])) + "\n")
     return "".join(out) + text[at:]
 
 
@@ -124,12 +136,16 @@ def _slips(s: str, rng: np.random.Generator) -> str:
 
 def fit(documents: DataFrame, text: str, lang: str, key: str, per_language: int = SAMPLE_PER_LANGUAGE, seed: int = 5) -> dict[str, np.ndarray] | None:
     """Weights fitted on the labelled documents with the lowest hashes, at most
-    per_language of each language; None without any.
+    per_language of each language; None without any. Of a text the first SAMPLE_LETTERS
+    letters come to the driver, so what is collected is bounded; labelling reads whole texts.
+
+    The same sample, settings and network have the same weights. They are kept in the shared
+    folder under the fingerprint of all three, so they are fitted once a corpus.
 
     Labels are noisy: after a first fit, segments that the network is sure to be of
     another language than their document's label are left out of the second.
     """
-    ranked = documents.select(F.col(text).alias("t"), label_code(F.col(lang)).alias("l"), F.xxhash64(F.lit(seed), F.col(key)).alias("h")).where("l <> 'xx' and length(t) > 20")
+    ranked = documents.select(F.substring(F.col(text), 1, SAMPLE_LETTERS).alias("t"), label_code(F.col(lang)).alias("l"), F.xxhash64(F.lit(seed), F.col(key)).alias("h")).where("l <> 'xx' and length(t) > 20")
     first = W.partitionBy("l").orderBy("h", "t")
     rows = ranked.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("t", "l", "h").collect()
     found, labels = [], []
@@ -140,6 +156,11 @@ def fit(documents: DataFrame, text: str, lang: str, key: str, per_language: int
                 labels.append(CODES.index(r["l"]))
     if not found:
         return None
+    mark = hashlib.sha256(json.dumps([found, labels, STEPS, seed, HIDDEN, inspect.getsource(gru)]).encode()).hexdigest()[:24]
+    kept_at = f"{shared_folder(documents.sparkSession)}/language-{mark}.npz"
+    if path_exists(documents.sparkSession, kept_at):
+        with np.load(io.BytesIO(fetch(kept_at))) as z:
+            return {k: z[k] for k in z.files}
 
     rng = np.random.default_rng(seed)
 
@@ -148,10 +169,13 @@ def fit(documents: DataFrame, text: str, lang: str, key: str, per_language: int
         # decoded, as some writers have it.
         return [as_bytes(_bare(s) if i % 6 == 0 else _slips(s, rng) if i % 12 == 3 else s.encode().decode("cp1252", "replace") if i % 24 == 5 else s) for i, s in enumerate(ss)]
 
-    net = train(written(found), labels, len(CODES), STEPS[0], seed=seed)
+    net = train(written(found), labels, len(CODES), STEPS[0], seed=seed, hidden=HIDDEN)
     sure = net.pooled([as_bytes(s) for s in found])
     kept = [i for i, y in enumerate(labels) if sure[i, y] > 0.2]
     net = train(written([found[i] for i in kept]), [labels[i] for i in kept], len(CODES), STEPS[1], seed=seed + 1, rate=0.006, net=net)
+    packed = io.BytesIO()
+    np.savez(packed, **net.weights())
+    store(kept_at, packed.getvalue())
     return net.weights()
 
 
@@ -220,13 +244,37 @@ def label_documents(df: DataFrame, key: str, text: str, keep: list[str], weights
     return spread(df.select(*cols, F.col(text).alias("_text")), key).mapInPandas(run, schema)
 
 
+def by_company(labelled: DataFrame, key: str) -> DataFrame:
+    """labelled with sentences put right by the company they keep.
+
+    A sentence that COMPANY documents or more have (digits and case apart), of which a
+    share of AGREED have one main language, is of that language, whatever the network
+    says of it; main languages are then told anew. The counts cover all documents, a
+    document counts once a sentence, and what is shuffled are hashes.
+    """
+    whole = cut_lineage(labelled)
+    plain = F.xxhash64(F.regexp_replace(F.lower("s.segment"), r"\d+", "0"))
+    each = whole.where("main is not null").select(key, "main", F.posexplode("segs").alias("pos", "s")).select(key, "main", "pos", plain.alias("h"), F.col("s.lang").alias("said"))
+    once = each.groupBy("h", key).agg(F.min("main").alias("main"), F.min("said").alias("said"))
+    counts = once.groupBy("h", "main").agg(F.count("*").alias("n"), F.count_if(F.col("said") != F.col("main")).alias("odd"))
+    told = counts.groupBy("h").agg(F.sum("n").alias("whole"), F.sum("odd").alias("odd"), F.max(F.struct("n", "main")).alias("top"))
+    # A sentence that is never told otherwise than its documents needs no look.
+    right = told.where((F.col("odd") > 0) & (F.col("whole") >= COMPANY) & (F.col("top.n") >= AGREED * F.col("whole"))).select("h", F.col("top.main").alias("lang"), (F.col("top.n") / F.col("whole")).alias("share"))
+    better = each.join(right, "h").where("said <> lang").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("pos", F.struct("lang", "share")))).alias("_b"))
+    put = lambda s, i: F.when(F.col("_b")[i].isNotNull(), F.struct(s["segment"].alias("segment"), F.col("_b")[i]["lang"].alias("lang"), F.col("_b")[i]["share"].alias("confidence"), s["letters"].alias("letters"))).otherwise(s)
+    joined = whole.join(better, key, "left").withColumn("segs", F.when(F.col("_b").isNull(), F.col("segs")).otherwise(F.transform("segs", put)))
+    total = F.transform(F.array(*map(F.lit, CODES)), lambda c: F.struct(F.aggregate(F.filter("segs", lambda s: s["lang"] == c), F.lit(0).cast("bigint"), lambda a, s: a + s["letters"]).alias("n"), c.alias("lang")))
+    main = F.when(F.col("_b").isNull(), F.col("main")).otherwise(F.array_max(total)["lang"])
+    return joined.withColumn("main", main).drop("_b")
+
+
 def label_defects(labelled: DataFrame, key: str, lang: str) -> DataFrame:
     """key, defect, lang: 'missing' or 'wrong' labels with the main language, and
     'mixed' with each further language of a whole sentence. Texts without words give none."""
     code = label_code(F.col(lang))
     known = labelled.where("main is not null")
     label = F.when(code.isNull(), F.lit("missing")).when(code != F.col("main"), F.lit("wrong"))
-    whole = F.filter("segs", lambda s: (s["lang"] != F.col("main")) & (s["confidence"] >= SENTENCE_SURE) & (s["letters"] >= SENTENCE_LETTERS) & s["segment"].rlike(_WHOLE))
+    whole = F.filter("segs", lambda s: (s["lang"] != F.col("main")) & (s["confidence"] >= SENTENCE_SURE) & s["segment"].rlike(_WHOLE))
     rows = F.concat(
         F.filter(F.array(F.struct(label.alias("defect"), F.col("main").alias("lang"))), lambda x: x["defect"].isNotNull()),
         F.transform(F.array_distinct(F.transform(whole, lambda s: s["lang"])), lambda x: F.struct(F.lit("mixed").alias("defect"), x.alias("lang"))),

@@ -124,14 +124,19 @@ _LEAD = re.compile(r"^\s*(?:>|-|\*|q:|question:|user:|you asked:|frage:|pregunta
 
 def copy_votes(question: str | None, answer: str | None) -> tuple[int, int, int]:
     q, a = _WORDS.findall(_LEAD.sub("", _plain(question)).lower()), _WORDS.findall(_LEAD.sub("", _plain(answer)).lower())
-    if len(q) < 3 or not a:
+    if not q or not a:
         return -1, -1, -1
+    if q == a:
+        return 1, 1, 1
     both = sum((Counter(q) & Counter(a)).values())
     words = 1 if both >= 0.85 * max(len(q), len(a)) else -1
     if len(a) > 2 * len(q) or len(q) > 2 * len(a):
         return -1, words, -1
-    order = 1 if SequenceMatcher(None, q, a, autojunk=False).ratio() >= 0.85 else -1
-    return (1 if q == a else 0 if words == 1 else -1), words, order
+    # The ratio counts words that match in order, so it can't be above that of the words at
+    # all: only pairs that could reach the bound are aligned.
+    bound = 2 * both / (len(q) + len(a)) >= 0.85
+    order = 1 if bound and SequenceMatcher(None, q, a, autojunk=False).ratio() >= 0.85 else -1
+    return 0 if words == 1 else -1, words, order
 
 
 def refusal_votes(answer: str | None) -> tuple[int, int, int, int]:
@@ -143,35 +148,64 @@ def refusal_votes(answer: str | None) -> tuple[int, int, int, int]:
     return vote(_DECLINES.search(text)), vote(_OPENER.search(text)), 1 if _DEFERS.search(text) else 0, vote(not found and len(_TOOTH.findall(text)) <= 1)
 
 
+def _features(text: str) -> Iterator[str]:
+    """The words of a text and their letter triples."""
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        yield w
+        p = f"<{w}>"
+        for i in range(len(p) - 2):
+            yield p[i : i + 3]
+
+
+#: Commonest words and triples that the language table holds: bounds what every worker gets.
+TABLE_FEATURES = 50_000
+#: Counts that a task holds before it passes them on: bounds its memory only.
+HELD_COUNTS = 200_000
+
+
+def language_counts(texts: DataFrame, text: str) -> DataFrame:
+    """feature, lang, n over all texts, whose languages their own function words tell; texts
+    that these leave open are not counted. Tasks add up before anything is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+        flush = lambda: pd.DataFrame([(f, x, n) for (f, x), n in held.items()], columns=["feature", "lang", "n"])
+        for b in batches:
+            for t in b["_t"]:
+                said = prose(t)
+                lang = top_language(function_word_scores(said), 1.5)
+                if lang:
+                    held.update((f, lang) for f in _features(said))
+            if len(held) > HELD_COUNTS:
+                yield flush()
+                held.clear()
+        yield flush()
+
+    return texts.select(F.col(text).alias("_t")).mapInPandas(run, "feature string, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n"))
+
+
+def corpus_language(texts: DataFrame, text: str, most: int = TABLE_FEATURES) -> CorpusLanguage:
+    """The table of the commonest features; their counts, and the totals, cover all texts."""
+    counts = cut_lineage(language_counts(texts, text))
+    total = {r[0]: (r[1], r[2]) for r in counts.groupBy("lang").agg(F.sum("n"), F.count("*")).collect()}  # nine rows
+    kinds = counts.select("feature").distinct().count()
+    per = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", F.col("n").alias("k")))).alias("by"))
+    rows = per.orderBy(F.col("n").desc(), "feature").limit(most).select("feature", "by").collect()  # a top-k: the model's vocabulary
+    return CorpusLanguage({r["feature"]: r["by"] for r in rows}, {k: v[0] for k, v in total.items()}, kinds)
+
+
 class CorpusLanguage:
-    """Naive Bayes over words and their letter triples, fitted on a bounded sample of
-    the corpus whose labels are its function words."""
+    """Naive Bayes over words and their letter triples."""
 
-    def __init__(self, texts: list[str]) -> None:
+    def __init__(self, counts: dict[str, dict[str, int]], total: dict[str, int], kinds: int) -> None:
         self.langs = sorted(FUNCTION_WORDS)
-        counts: dict[str, np.ndarray] = {}
-        for t in texts:
-            lang = top_language(function_word_scores(t), 1.5)
-            if lang is None:
-                continue
-            k = self.langs.index(lang)
-            for f in self._features(t):
-                counts.setdefault(f, np.zeros(len(self.langs), np.float32))[k] += 1
-        total = sum(counts.values()) if counts else np.zeros(len(self.langs), np.float32)
-        size = len(counts) + 1
-        self.table = {f: np.log((c + 0.2) / (total + 0.2 * size)).astype(np.float32) for f, c in counts.items()}
-        self.seen = total > 0
-
-    @staticmethod
-    def _features(text: str) -> Iterator[str]:
-        for w in re.findall(r"[^\W\d_]+", text.lower()):
-            yield w
-            p = f"<{w}>"
-            for i in range(len(p) - 2):
-                yield p[i : i + 3]
+        whole = np.array([total.get(x, 0) for x in self.langs], np.float64)
+        size = whole + 0.2 * (kinds + 1)
+        self.table = {f: np.log((np.array([by.get(x, 0) for x in self.langs], np.float64) + 0.2) / size).astype(np.float32) for f, by in counts.items()}
+        self.seen = whole > 0
 
     def guess(self, text: str, lead: float = 4.0) -> str | None:
-        hits = [self.table[f] for f in self._features(text) if f in self.table]
+        hits = [self.table[f] for f in _features(text) if f in self.table]
         if len(hits) < 6:
             return None
         s = np.sum(hits, axis=0)
@@ -204,40 +238,35 @@ def message_pairs(df: DataFrame, key: str, messages: str) -> DataFrame:
     return rows.select(key, "p.question_pos", "p.question", "p.answered", F.when(F.col("p.answered"), F.col("p.answer")).alias("answer")).distinct()
 
 
-#: Messages from which the language words are learnt, the ones with the lowest hashes.
-LANGUAGE_SAMPLE = 20_000
-
-
 def votes(pairs: DataFrame, key: str, judged: DataFrame) -> DataFrame:
     """key, question_pos and, for each defect, its functions' votes as text like '1,-1,0'.
 
     The functions for 'empty' and 'truncated' look for different signs, so one that
     doesn't fire abstains. judged: key, message_pos, shape, cut of the stored texts.
     """
-    texts = pairs.select(F.explode(F.array("question", "answer")).alias("text"), F.xxhash64(key, "question_pos").alias("h")).where(F.length("text") > 20)
-    corpus = CorpusLanguage([prose(r[0]) for r in texts.orderBy("h", "text").limit(LANGUAGE_SAMPLE).collect()])
+    corpus = corpus_language(pairs.where("question_pos >= 0").select(F.explode(F.array("question", "answer")).alias("text")).where("text is not null"), "text")
     names = ["empty", "refusal", "copy", "other_language"]
 
     @F.pandas_udf(", ".join(f"{n} string" for n in names))
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for question, answered, answer in batches:
+        for at, question, answered, answer in batches:
             rows = []
-            for q, there, a in zip(question.tolist(), answered.tolist(), answer.tolist()):
+            for pos, q, there, a in zip(at.tolist(), question.tolist(), answered.tolist(), answer.tolist()):
                 text = (a or "").translate(_ZERO).strip()
                 blank = there and not text
                 shell = there and bool(text) and not has_content(content_value(a))
                 empty = tuple(int(x) for x in (not there, blank, shell))
-                if 1 in empty:
+                if pos < 0 or 1 in empty:
                     rows.append((empty, (-1, -1, 0, -1), (-1, -1, -1), (0, 0, 0)))
                 else:
                     rows.append((empty, refusal_votes(a), copy_votes(q, a), language_votes(prose(q), prose(a), corpus)))
             yield pd.DataFrame([[",".join(map(str, v)) for v in r] for r in rows], columns=names)
 
     j = judged.select(F.col(key).alias("_k"), (F.col("message_pos") - 1).alias("_p"), "shape", "cut").distinct()
-    joined = pairs.join(j, (F.col(key) == F.col("_k")) & (F.col("question_pos") == F.col("_p")) & F.col("answered"), "left")
+    joined = pairs.join(j, (F.col(key) == F.col("_k")) & (F.col("question_pos") == F.col("_p")) & F.col("answered") & (F.col("question_pos") >= 0), "left")
     sign = lambda c: F.when(F.coalesce(c, F.lit(False)), F.lit("1")).otherwise(F.lit("0"))
     cut = F.concat_ws(",", sign(F.col("shape") == "marked"), sign(F.col("shape") == "open"), sign(F.col("cut") & F.col("shape").isin("dangling", "word")))
-    got = joined.select(key, "question_pos", cut.alias("truncated"), run("question", "answered", "answer").alias("v"))
+    got = joined.select(key, "question_pos", cut.alias("truncated"), run("question_pos", "question", "answered", "answer").alias("v"))
     return got.select(key, "question_pos", "truncated", "v.*")
 
 
@@ -270,7 +299,12 @@ def main_defect(found: DataFrame, key: str) -> DataFrame:
     return found.groupBy(key, "question_pos").agg(F.min_by("defect", order).alias("defect"))
 
 
-def without_answer(df: DataFrame, key: str, answers: str) -> DataFrame:
-    """key of the records whose list of answers has no entry with a non-blank diagnosis."""
-    none = ~F.coalesce(F.exists(answers, lambda x: F.coalesce(F.length(F.regexp_replace(x["diagnosis"], r"[\s\p{Z}​﻿]", "")) > 0, F.lit(False))), F.lit(False))
-    return df.where(F.col(key).isNotNull() & none).select(key).distinct()
+def final_answers(df: DataFrame, key: str, answers: str) -> DataFrame:
+    """The final answer of each record as a pair of the place -1, without a question: its
+    diagnoses, or no answer if none of its entries has a non-blank one. A record that is
+    repeated with other answers has a pair for each."""
+    real = F.filter(answers, lambda x: F.coalesce(F.length(F.regexp_replace(x["diagnosis"], r"[\s\p{Z}​﻿]", "")) > 0, F.lit(False)))
+    told = F.array_join(F.transform(real, lambda x: x["diagnosis"]), "; ")
+    there = F.coalesce(F.size(real), F.lit(0)) > 0
+    rows = df.where(F.col(key).isNotNull()).select(key, F.lit(-1).alias("question_pos"), F.lit(None).cast("string").alias("question"), there.alias("answered"), F.when(there, told).alias("answer"))
+    return rows.distinct()

@@ -79,14 +79,13 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
 def _p4_defects(spark: SparkSession, sf: str) -> DataFrame:
     judged = truncation.judge(_messages(spark, sf).distinct(), ["table_name", "record_id", "message_pos"], "table_name")
     judged = judged.select(F.col("record_id").alias("trajectory_id"), "message_pos", "shape", "cut")
-    got = pairs.message_pairs(read_table(spark, sf, "agent_trajectory").select("trajectory_id", "messages"), "trajectory_id", "messages")
-    return pairs.defects(got, "trajectory_id", judged)
+    t = read_table(spark, sf, "agent_trajectory")
+    got = pairs.message_pairs(t.select("trajectory_id", "messages"), "trajectory_id", "messages")
+    return pairs.defects(got.unionByName(pairs.final_answers(t, "trajectory_id", "final_answer")), "trajectory_id", judged)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    of_pairs = pairs.main_defect(_p4_defects(spark, sf), "trajectory_id")
-    blank = pairs.without_answer(read_table(spark, sf, "agent_trajectory"), "trajectory_id", "final_answer")
-    return of_pairs.unionByName(blank.select("trajectory_id", F.lit(-1).alias("question_pos"), F.lit("empty").alias("defect")))
+    return pairs.main_defect(_p4_defects(spark, sf), "trajectory_id")
 
 
 def p4_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,7 +193,7 @@ def p9_check(spark: SparkSession, sf: str) -> DataFrame:
 def _p10_labelled(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
     weights = language.fit(docs, "text", "lang", "doc_id")
-    return language.label_documents(docs.withColumnRenamed("lang", "label"), "doc_id", "text", ["label"], weights)
+    return language.by_company(language.label_documents(docs.withColumnRenamed("lang", "label"), "doc_id", "text", ["label"], weights), "doc_id")
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:

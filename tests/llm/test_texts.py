@@ -204,39 +204,67 @@ def test_pairs_by_defect(spark):
     assert pairs.defects(p.where("false"), "k", judged).count() == 0
 
 
-def test_without_answer(spark):
+def test_final_answers(spark):
     a = "array<struct<diagnosis string>>"
-    df = spark.createDataFrame([(1, None), (2, []), (3, [None]), (4, [(" ",), (None,)]), (5, [("",), ("x",)]), (None, None), (1, None)], f"k long, f {a}")
-    assert {r[0] for r in pairs.without_answer(df, "k", "f").collect()} == {1, 2, 3, 4}
+    df = spark.createDataFrame([(1, None), (2, []), (3, [None]), (4, [(" ",), (None,)]), (5, [("",), ("x",)]), (None, None), (1, None), (6, [("y",)])], f"k long, f {a}")
+    rows = pairs.final_answers(df, "k", "f").collect()
+    assert {(r["k"], r["question_pos"], r["answered"], r["answer"]) for r in rows} == {(k, -1, False, None) for k in (1, 2, 3, 4)} | {(5, -1, True, "x"), (6, -1, True, "y")}
+    judged = spark.createDataFrame([(5, 0, "open", True)], "k long, message_pos int, shape string, cut boolean")
+    found = pairs.main_defect(pairs.defects(pairs.final_answers(df, "k", "f"), "k", judged), "k").collect()
+    assert {(r["k"], r["question_pos"], r["defect"]) for r in found} == {(k, -1, "empty") for k in (1, 2, 3, 4)}
+
+
+def test_copy_votes_against_alignment():
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(5)
+    for _ in range(300):
+        q = [rnd.choice("abcdefgh") for _ in range(rnd.randrange(1, 12))]
+        a = [x for x in q if rnd.random() < 0.9] + [rnd.choice("abcdefgh") for _ in range(rnd.randrange(3))]
+        if rnd.random() < 0.3:
+            rnd.shuffle(a)
+        if a and len(a) <= 2 * len(q) and len(q) <= 2 * len(a):
+            assert pairs.copy_votes(" ".join(q), " ".join(a))[2] == (1 if SequenceMatcher(None, q, a, autojunk=False).ratio() >= 0.85 else -1)
+    assert pairs.copy_votes("Why?", "why") == (1, 1, 1) and pairs.copy_votes("?", "x") == (-1, -1, -1)
+
+
+def test_language_counts_cover_every_text(spark, monkeypatch):
+    texts = ["The crop is in the view of the reader.", "Der Rahmen ist nicht in der Mitte, und das ist gut."] * 40 + [None, "", "xyz"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    want = Counter()
+    for t in texts:
+        lang = pairs.top_language(pairs.function_word_scores(pairs.prose(t)), 1.5)
+        want.update((f, lang) for f in pairs._features(pairs.prose(t)) if lang)
+    monkeypatch.setattr(pairs, "HELD_COUNTS", 20)
+    assert {(r["feature"], r["lang"]): r["n"] for r in pairs.language_counts(df, "t").collect()} == want
+    c = pairs.corpus_language(df, "t")
+    assert c.guess("the crop is in the view") == "en" and c.guess("der Rahmen ist nicht gut") == "de" and c.guess("x") is None
+
+
+def test_sentences_by_their_company(spark):
+    """A sentence that its documents' language speaks against is put right, a rare one is not."""
+    seg = lambda s, lang: (s, lang, 0.99, 10)
+    rows = [(i, "es", 0.9, [seg("Comparado con 12 .", "pt" if i % 2 else "es"), seg("Uno.", "es")]) for i in range(8)] + [(90, "pt", 0.9, [seg("Comparado con 7 .", "pt")]), (91, "es", 0.9, [seg("Raro.", "pt"), seg("Uno.", "es"), seg("Uno.", "es")]), (92, None, 0.0, [])]
+    df = spark.createDataFrame(rows, "k long, main string, confidence double, segs array<struct<segment string, lang string, confidence double, letters int>>")
+    got = {r["k"]: (r["main"], [s["lang"] for s in r["segs"]]) for r in language.by_company(df, "k").collect()}
+    assert all(got[i] == ("es", ["es", "es"]) for i in range(8)) and got[90] == ("es", ["es"]) and got[91] == ("es", ["pt", "es", "es"]) and got[92] == (None, [])
 
 
 def test_gradients():
     net = gru.ByteTagger(3, 4, 0)
-    for w in net.ways:
-        w.p = {k: v.astype(np.float64) for k, v in w.p.items()}
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     x, mask = gru.batch([b"abc", b"defgh", b"a"])
     y = np.array([0, 2, 1])
-
-    def loss():
-        lp, _ = net.log_probs(x, mask)
-        return -float((lp[:, np.arange(3), y] * mask[:, :, 0]).sum() / mask.sum())
-
-    keeps = [[], []]
-    lp, _ = net.log_probs(x, mask, keeps)
-    d = np.exp(lp)
-    d[:, np.arange(3), y] -= 1
-    d *= mask / mask.sum()
-    back = d @ net.p["w"].T
-    for i, way in enumerate(net.ways):
-        for k, g in way.learn(x, mask, keeps[i], back[:, :, i * 4 : i * 4 + 4]).items():
-            at = np.unravel_index(np.abs(g).argmax(), g.shape)
-            way.p[k][at] += 1e-4
-            up = loss()
-            way.p[k][at] -= 2e-4
-            down = loss()
-            way.p[k][at] += 1e-4
-            assert abs((up - down) / 2e-4 - g[at]) < 1e-4
+    _, grads = net.gradients(x, mask, y)
+    assert grads.keys() == net.p.keys()
+    for k, g in grads.items():
+        for at in [np.unravel_index(i, g.shape) for i in np.abs(g).ravel().argsort()[-3:]]:
+            net.p[k][at] += 1e-4
+            up = net.gradients(x, mask, y)[0]
+            net.p[k][at] -= 2e-4
+            down = net.gradients(x, mask, y)[0]
+            net.p[k][at] += 1e-4
+            assert abs((up - down) / 2e-4 - g[at]) < 1e-5, k
 
 
 def test_padding_and_windows_change_nothing():
@@ -279,6 +307,7 @@ def test_held_out_accuracy_and_defects(spark, monkeypatch):
 
 
 def test_segments():
+    assert language.segments('Before it all. {"thought": "Broken here.", {\nAnd prose goes on.') == ["Before it all.", "Broken here.", "And prose goes on."]
     assert language.segments(None) == [] and language.segments("47 x 12:3") == []
     assert language.segments("```\ncode here inside\n```\nA plain line of text.") == ["A plain line of text."]
     assert language.segments('{"thought": "One sentence here.\\nTwo sentences here.", "tool_calls": []}') == ["One sentence here.", "Two sentences here."]
