@@ -247,13 +247,13 @@ def label_documents(df: DataFrame, key: str, text: str, keep: list[str], weights
 def by_company(labelled: DataFrame, key: str) -> DataFrame:
     """labelled with sentences put right by the company they keep.
 
-    A sentence that COMPANY documents or more have (digits and case apart), of which a
+    A sentence that COMPANY documents or more have (by its letters, case apart), of which a
     share of AGREED have one main language, is of that language, whatever the network
     says of it; main languages are then told anew. The counts cover all documents, a
     document counts once a sentence, and what is shuffled are hashes.
     """
     whole = cut_lineage(labelled)
-    plain = F.xxhash64(F.regexp_replace(F.lower("s.segment"), r"\d+", "0"))
+    plain = F.xxhash64(F.trim(F.regexp_replace(F.lower("s.segment"), r"[^\p{L}]+", " ")))
     each = whole.where("main is not null").select(key, "main", F.posexplode("segs").alias("pos", "s")).select(key, "main", "pos", plain.alias("h"), F.col("s.lang").alias("said"))
     once = each.groupBy("h", key).agg(F.min("main").alias("main"), F.min("said").alias("said"))
     counts = once.groupBy("h", "main").agg(F.count("*").alias("n"), F.count_if(F.col("said") != F.col("main")).alias("odd"))
