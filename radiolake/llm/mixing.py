@@ -170,9 +170,10 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     return t.select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.col("tokens") / whole, F.lit(0.0)), 6).alias("reached_share"), F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
 
 
-def kept(reached: DataFrame, targets: DataFrame, slack: float = 0.01) -> DataFrame:
+def kept(reached: DataFrame, targets: DataFrame, slack: float = 0.01, block: int = BLOCK) -> DataFrame:
     """source, share_kept, repeats_kept: whether each target with tokens has its share, scaled
-    over those that have any, to within slack, and no block too often."""
+    over those that have any, to within slack and a block or two, and no block too often."""
     most = targets.where("source is not null").groupBy("source").agg(F.max("max_repeats").alias("most"))
     due = F.col("target_share") / F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(W.partitionBy())  # a row for each source
-    return reached.join(most, "source").select("source", ((F.col("tokens") == 0) | (F.abs(F.col("reached_share") - due) <= slack)).alias("share_kept"), (F.col("most_uses") <= F.col("most")).alias("repeats_kept"))
+    whole = F.sum("tokens").over(W.partitionBy())
+    return reached.join(most, "source").select("source", ((F.col("tokens") == 0) | (F.abs(F.col("tokens") - due * whole) <= slack * whole + 2 * block)).alias("share_kept"), (F.col("most_uses") <= F.col("most")).alias("repeats_kept"))
