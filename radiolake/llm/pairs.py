@@ -271,8 +271,8 @@ def votes(pairs: DataFrame, key: str, judged: DataFrame) -> DataFrame:
 
 
 def defects(pairs: DataFrame, key: str, judged: DataFrame, cutoffs: dict[str, float] | None = None) -> DataFrame:
-    """key, question_pos, defect, posterior: every defect above its cutoff, so a pair
-    may have several rows. Pairs without defects give none; no pairs, no rows."""
+    """key, question_pos, defect, posterior: every defect above its cutoff for which a
+    function votes, so a pair may have several rows. Pairs without defects give none; no pairs, no rows."""
     cutoffs = {**CUTOFFS, **(cutoffs or {})}
     v = cut_lineage(votes(pairs, key, judged))
     names = list(DEFECTS)
@@ -283,7 +283,7 @@ def defects(pairs: DataFrame, key: str, judged: DataFrame, cutoffs: dict[str, fl
     found = []
     for d in names:
         posterior = fit(patterns[d], DEFECTS[d], PRIORS[d])
-        table = [F.lit(x) for k, p in posterior.items() if p >= cutoffs[d] for x in (",".join(map(str, k)), p)]
+        table = [F.lit(x) for k, p in posterior.items() if p >= cutoffs[d] and 1 in k for x in (",".join(map(str, k)), p)]
         if table:
             found.append(F.struct(F.lit(d).alias("defect"), F.create_map(*table)[F.col(d)].alias("posterior")))
     if not found:
