@@ -97,9 +97,10 @@ def bootstrap_mean(df: DataFrame, row_id: str, value: Column, replicates: int, s
     return bootstrap(df, row_id, {"v": value}, lambda s: s["v"] / s["n"], replicates, seed)
 
 
-def with_advantage(df: DataFrame, reward: str, group: str) -> DataFrame:
-    """df plus advantage. Groups are aggregated map-side and joined back, so a hot
-    group costs no single task (adaptive execution splits its join side)."""
+def with_advantage(df: DataFrame, reward: str, group: str, places: int = 6) -> DataFrame:
+    """df plus advantage, to be rounded here only: rounding it again would move values just
+    below a half. Groups are aggregated map-side and joined back, so a hot group costs no
+    single task (adaptive execution splits its join side)."""
     g = df.groupBy(group).agg(F.avg(reward).alias("_mean"), F.stddev_pop(reward).alias("_std")).withColumnRenamed(group, "_g")
     joined = df.join(g, F.col(group).eqNullSafe(F.col("_g")))
-    return joined.withColumn("advantage", F.round((F.col(reward) - F.col("_mean")) / (F.col("_std") + 1e-4), 6)).drop("_g", "_mean", "_std")
+    return joined.withColumn("advantage", F.round((F.col(reward) - F.col("_mean")) / (F.col("_std") + 1e-4), places)).drop("_g", "_mean", "_std")

@@ -121,7 +121,7 @@ def weight_sweep(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT record_id, image_id, round({_TOTAL}, 5)::DOUBLE AS r FROM q)""")
 def group_advantage(spark: SparkSession, sf: str) -> DataFrame:
     r = scored(spark, sf).select("record_id", "image_id", F.round(scoring.composite(component_scores()), 5).alias("reward"))
-    return metrics.with_advantage(r, "reward", "image_id").select("record_id", (F.round("advantage", 3) + F.lit(0.0)).alias("advantage"))
+    return metrics.with_advantage(r, "reward", "image_id", 3).select("record_id", (F.col("advantage") + F.lit(0.0)).alias("advantage"))
 
 
 @query()

@@ -291,3 +291,12 @@ def test_advantage_of_a_group(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 3.0), (2, 5.0), (None, 1.0)], "g int, r double")
     got = sorted(((x["g"] or 0), x["advantage"]) for x in metrics.with_advantage(df, "r", "g").collect())
     assert got == [(0, 0.0), (1, -0.9999), (1, 0.9999), (2, 0.0)]
+
+
+def test_advantage_is_rounded_once(spark):
+    # 0.2854998932: to six places first it would be 0.2855, and then 0.286.
+    df = spark.createDataFrame([(1, 0.775), (1, 1.0), (1, 0.3)], "g int, r double")
+    r = [0.775, 1.0, 0.3]
+    mean, std = np.mean(r), np.std(r)
+    got = sorted(x["advantage"] for x in metrics.with_advantage(df, "r", "g", 3).collect())
+    assert got == sorted(round((x - mean) / (std + 1e-4), 3) for x in r)

@@ -39,3 +39,9 @@ def test_core_expressions_stay_in_the_jvm(spark):
 def test_scans_read_only_what_is_asked(spark):
     plan = CORE_QUERIES["annotations_per_image_describe"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "IsNotNull(id)" in plan and "ingested_at" not in plan
+
+
+def test_advantages_just_below_a_half(spark):
+    """Of sf0.01 one advantage is -0.1044997: -0.104, though -0.105 if rounded to six places first."""
+    df = CORE_QUERIES["group_advantage"](spark, f"{DATA}/sf0.01")
+    same(df.collect(), df.columns, oracle("sf0.01").execute(CORE_SQL["group_advantage"]))
